@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
+from claimweave.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +57,7 @@ SENTENCE = T.SENTENCE_PATTERN
 
 def strings(values: list[str]) -> str:
     """SQL list literal."""
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
+    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[])"
 
 
 def sql_tokens(expr: str, lower: bool = True) -> str:
@@ -127,7 +128,7 @@ def planted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = tokens.select(F.explode(F.concat("toks", T.ngrams(F.col("toks"), 2))).alias("term")).distinct()
     terms = terms.filter(F.col("term").rlike("^[a-z]+( [a-z]+)?$") & (F.length("term") > 1))
     both = F.array_distinct(F.array_compact(F.array(_category(F.col("term"), 1), _category(F.col("term"), 3))))
-    return terms.select(F.explode(both).alias("category"), "term")
+    return settle(terms.select(F.explode(both).alias("category"), "term"))[0]
 
 
 # --- planted publishers: names of the documents' sources by digest -----------------------------

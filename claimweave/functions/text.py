@@ -12,6 +12,7 @@ WORD_PATTERN = r"[\p{L}\p{N}_]+"
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
 NO_WORD_AFTER = r"(?![\p{L}\p{N}_])"
+WORD_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
 def _col(c: Column | str) -> Column:

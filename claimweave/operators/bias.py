@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
 from claimweave.operators.entities import bias_entity_array
-from claimweave.operators.features import ratio
+from claimweave.operators.features import _known, ratio
 from claimweave.operators.lexical import (
+    INLINE_PHRASES,
     contained,
-    inline_terms,
     phrases_of,
     string_array,
     whole_word_occurrences,
     wide_lexicon,
     with_previous,
 )
-from claimweave.scale import contains_join, lookup_join
+from claimweave.scale import contains_join, lookup_join, settle
 
 TOKEN_CATEGORIES = ["left", "right", "positive", "negative", "subjective", "exaggeration", "hedging", "conspiracy"]
+MAX_NAMES = 5_000
 PHRASE_CATEGORIES = ["left", "right", "conspiracy", "loaded"]
 
 
@@ -34,8 +35,10 @@ def source_leaning(docs: DataFrame, sources: DataFrame, source_col: str = "sourc
     names = docs.select(F.coalesce(F.col(source_col), F.lit("")).alias(source_col)).distinct()
     names = names.withColumn("_name", T.normalize_source(source_col)).filter(F.col("_name") != "")
     known = sources.select("leaning", F.lower("name").alias("name"), "ord")
-    inside = contains_join(names, known, "_name", "name").select(source_col, "leaning", "ord")
-    around = contains_join(known, names, "name", "_name").select(source_col, "leaning", "ord")
+    (names, name_rows), (known, known_rows) = settle(names, MAX_NAMES), settle(known, MAX_NAMES)
+    small_names, small_known = (True if r is not None else None for r in (name_rows, known_rows))
+    inside = contains_join(names, known, "_name", "name", small=small_known).select(source_col, "leaning", "ord")
+    around = contains_join(known, names, "name", "_name", small=small_names).select(source_col, "leaning", "ord")
     first = inside.unionByName(around).groupBy(source_col).agg(F.min_by("leaning", "ord").alias("source_leaning"))
     strength = F.lit(0.0)
     for leaning, value in fixed.SOURCE_STRENGTH.items():
@@ -43,10 +46,11 @@ def source_leaning(docs: DataFrame, sources: DataFrame, source_col: str = "sourc
     return first.withColumn("source_strength", strength)
 
 
-def with_source_leaning(docs: DataFrame, sources: DataFrame, source_col: str = "source") -> DataFrame:
-    leaning = source_leaning(docs, sources, source_col)
-    filled = docs.withColumn(source_col, F.coalesce(F.col(source_col), F.lit("")))
-    return lookup_join(filled, leaning, [source_col], "left").withColumns(
+def with_source_leaning(
+    df: DataFrame, leaning: DataFrame, source_col: str = "source", small: bool | None = None
+) -> DataFrame:
+    """Adds the leaning of each row's publisher; unlisted ones are unknown."""
+    return lookup_join(df, leaning, [source_col], "left", small=small).withColumns(
         {
             "source_leaning": F.coalesce("source_leaning", F.lit("unknown")),
             "source_strength": F.coalesce("source_strength", F.lit(0.0)),
@@ -57,12 +61,13 @@ def with_source_leaning(docs: DataFrame, sources: DataFrame, source_col: str = "
 def entity_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", title_col: str = "title",
                      text_col: str = "text") -> DataFrame:
     """Sentiment of every entity over the sentences that contain it."""
+    lexicon, terms = settle(lexicon)
     cased = F.concat(T.text_of(title_col), F.lit(" "), T.text_of(text_col))
     full = F.concat(T.normalize_ws(title_col), F.lit(" "), T.normalize_ws(text_col))
-    found = docs.select(
-        id_col, F.array_distinct(bias_entity_array(cased)).alias("_entities"), full.alias("_full")
-    ).filter(F.size("_entities") > 0)
-    sents = found.select(id_col, "_entities", F.posexplode(T.sentences("_full")).alias("_pos", "_sentence"))
+    found = docs.select(id_col, F.array_distinct(bias_entity_array(cased)).alias("_entities"), full.alias("_full"))
+    # no filter on the entities: it would be pushed to the scan and match every pattern a second time
+    wanted = F.when(F.size("_entities") > 0, T.sentences("_full"))
+    sents = found.select(id_col, "_entities", F.posexplode(wanted).alias("_pos", "_sentence"))
     sents = sents.select(
         id_col,
         "_pos",
@@ -74,14 +79,10 @@ def entity_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id"
     )
     flags = wide_lexicon(lexicon, ["positive", "negative"], "tok")
     counted = (
-        lookup_join(tokens, flags, ["tok"], "left")
+        lookup_join(tokens, flags, ["tok"], "left", small=_known(terms))
         .filter((F.col("tok") == "") | F.col("positive").isNotNull())
-        .groupBy(id_col, "_pos")
-        .agg(
-            F.first("_entities").alias("_entities"),
-            F.count_if("positive").alias("p"),
-            F.count_if("negative").alias("n"),
-        )
+        .groupBy(id_col, "_pos", "_entities")
+        .agg(F.count_if("positive").alias("p"), F.count_if("negative").alias("n"))
     )
     per_entity = counted.select(id_col, F.explode("_entities").alias("entity"), "p", "n")
     per_entity = per_entity.groupBy(id_col, "entity").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -158,14 +159,24 @@ def bias_indicators(source_col: str = "source") -> Column:
     )
 
 
-def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, id_col: str) -> DataFrame:
+def _inline_phrases(terms: list[tuple] | None) -> dict[str, list[str]] | None:
+    """Multi-word terms and clickbait phrases by category when there are few, else None."""
+    if terms is None:
+        return None
+    wanted = {c: set() for c in [*PHRASE_CATEGORIES, "clickbait"]}
+    for category, term in terms:
+        if category in wanted and (category == "clickbait" or " " in term):
+            wanted[category].add(term)
+    if sum(len(v) for v in wanted.values()) > INLINE_PHRASES:
+        return None
+    return {c: sorted(v) for c, v in wanted.items()}
+
+
+def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, terms: list[tuple] | None, id_col: str) -> DataFrame:
     """Adds the counts of multi-word terms and of clickbait phrases."""
-    multi = phrases_of(lexicon, PHRASE_CATEGORIES)
-    bait = lexicon.filter(F.col("category") == "clickbait").select("category", "term").distinct()
-    terms = inline_terms(multi.unionByName(bait))
     full, title = F.col("_full"), F.col("_title")
-    if terms is not None:
-        by = {c: [t for k, t in terms if k == c] for c in [*PHRASE_CATEGORIES, "clickbait"]}
+    by = _inline_phrases(terms)
+    if by is not None:
         bait_found = contained(full, by["clickbait"])
         loaded = F.aggregate(
             contained(full, by["loaded"]),
@@ -182,6 +193,8 @@ def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, id_col: str) -> Dat
                 "_bait_body": F.size(F.filter(bait_found, lambda p: ~title.contains(p))).cast("long"),
             }
         )
+    multi = phrases_of(lexicon, PHRASE_CATEGORIES)
+    bait = lexicon.filter(F.col("category") == "clickbait").select("category", "term").distinct()
     found = contains_join(base.select(id_col, "_title", "_full"), multi.unionByName(bait), "_full", "term")
     is_bait, in_title = F.col("category") == "clickbait", F.col("_title").contains(F.col("term"))
     occurrences = whole_word_occurrences(full, F.col("term")).cast("long")
@@ -214,6 +227,8 @@ def score_bias(
     are exploded once and shared by all categories; only hits and one marker row per
     document are aggregated.
     """
+    lexicon, terms = settle(lexicon.select("category", "term"))
+    small = _known(terms)
     title, text = T.normalize_ws(title_col), T.normalize_ws(text_col)
     base = docs.select(
         id_col,
@@ -223,9 +238,9 @@ def score_bias(
     )
     base = base.withColumn("_tokens", T.tokenize("_full")).withColumn("n_tokens", F.size("_tokens").cast("long"))
     cited = sum((T.occurrences(F.col("_full"), p) for p in citation_patterns), F.lit(0).cast("long"))
-    base = _with_phrase_counts(base.withColumn("_citations", cited), lexicon, id_col)
+    base = _with_phrase_counts(base.withColumn("_citations", cited), lexicon, terms, id_col)
     scalars = [
-        source_col, "n_tokens", "_citations", "_left_phrases", "_right_phrases", "_conspiracy_phrases",
+        "n_tokens", "_citations", "_left_phrases", "_right_phrases", "_conspiracy_phrases",
         "_loaded_phrases", "_bait_title", "_bait_body",
     ]
     none = F.lit(None).cast("string")
@@ -236,15 +251,16 @@ def score_bias(
         ),
         F.transform(T.words("_full"), lambda w: F.struct(w.alias("tok"), none.alias("prev"), F.lit("w").alias("kind"))),
     )
-    tokens = base.select(id_col, *scalars, F.inline(rows))
+    tokens = base.select(id_col, source_col, *scalars, F.inline(rows))
     loaded_terms = F.when(F.col("category") == "loaded", F.lower("term")).otherwise(F.col("term"))
     flags = wide_lexicon(lexicon.withColumn("term", loaded_terms), [*TOKEN_CATEGORIES, "loaded"], "tok")
     pairs = wide_lexicon(lexicon.filter(F.col("term").contains(" ")), ["left", "right"], "_bigram")
     pairs = pairs.withColumnsRenamed({"left": "_left_pair", "right": "_right_pair"})
     strong = lexicon.filter(F.col("category") == "exaggeration").select(F.col("term").alias("prev")).distinct()
-    hit = lookup_join(tokens, flags, ["tok"], "left")
-    hit = lookup_join(hit.withColumn("_bigram", F.concat_ws(" ", "prev", "tok")), pairs, ["_bigram"], "left")
-    hit = lookup_join(hit, strong.withColumn("_strong", F.lit(True)), ["prev"], "left")
+    hit = lookup_join(tokens, flags, ["tok"], "left", small=small)
+    hit = hit.withColumn("_bigram", F.concat_ws(" ", "prev", "tok"))
+    hit = lookup_join(hit, pairs, ["_bigram"], "left", small=small)
+    hit = lookup_join(hit, strong.withColumn("_strong", F.lit(True)), ["prev"], "left", small=small)
     hit = hit.filter(
         (F.col("kind") == "m") | F.col("left").isNotNull() | (F.col("prev").isNotNull() & F.col("_left_pair").isNotNull())
     )
@@ -255,7 +271,8 @@ def score_bias(
     def n(cond: Column) -> Column:
         return F.count_if(cond)
 
-    counted = hit.groupBy(id_col).agg(
+    # the source is a key, not a first(): a string in the buffer would turn this into a sort aggregate
+    counted = hit.groupBy(id_col, source_col).agg(
         *[F.first(c).alias(c) for c in scalars],
         *[n(is_token & F.col(c)).alias(f"_{c}") for c in TOKEN_CATEGORIES],
         n(has_prev & F.col("_left_pair")).alias("_left_pairs"),
@@ -265,7 +282,8 @@ def score_bias(
         n(is_token & has_prev & F.col("subjective")).alias("_more_subjective"),
         n((F.col("kind") == "w") & F.col("loaded")).alias("_loaded"),
     )
-    counted = with_source_leaning(counted, sources, source_col)
+    leaning, leaning_rows = settle(source_leaning(docs, sources, source_col))
+    counted = with_source_leaning(counted, leaning, source_col, _known(leaning_rows))
     if with_entities:
         spread = entity_bias(entity_sentiment(docs, lexicon, id_col, title_col, text_col), id_col)
         counted = counted.join(spread, id_col, "left")

@@ -10,7 +10,8 @@ from claimweave.functions import text as T
 
 
 def _bounded(pattern: str) -> str:
-    return T.NO_WORD_BEFORE + r"(?:" + pattern + r")" + T.NO_WORD_AFTER
+    """The pattern between word boundaries."""
+    return T.WORD_EDGE + r"(?:" + pattern + r")" + T.WORD_EDGE
 
 
 def capitalized_entities(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
@@ -58,7 +59,7 @@ def typed_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = docs.select(id_col, T.text_of(text_col).alias("_text"))
     for etype in fixed.ENTITY_TYPES[:-1]:
         found = [
-            T.find_all(text, _pattern(p, group), group) for kind, p, group in fixed.ENTITY_PATTERNS if kind == etype
+            T.find_all(text, _bounded(p), group) for kind, p, group in fixed.ENTITY_PATTERNS if kind == etype
         ]
         out = out.withColumn(etype, F.filter(F.concat(*found), usable))
     phrases = T.find_all(text, _bounded(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"))
@@ -77,23 +78,6 @@ def typed_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _pattern(pattern: str, group: int) -> str:
-    """Word boundaries around a typed pattern.
-
-    A pattern that may end in a space or a dot needs a word on its other side there,
-    as a boundary lies between a word and a non-word character.
-    """
-    if pattern.startswith(r"\$"):
-        # the boundary before '$' asks for a word character, the one after for a change of kind
-        before = r"(?<=[\p{L}\p{N}_])"
-        after = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
-        return before + pattern + after
-    if r"\." in pattern:
-        after = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
-        return T.NO_WORD_BEFORE + pattern + after
-    return T.NO_WORD_BEFORE + pattern + T.NO_WORD_AFTER
-
-
 def entity_rows(typed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Long form (id, etype, pos, entity) of ``typed_entities``."""
     arrays = F.array(*[F.struct(F.lit(t).alias("etype"), F.col(t).alias("found")) for t in fixed.ENTITY_TYPES])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
 from claimweave.operators.lexical import wide_lexicon
-from claimweave.scale import lookup_join
+from claimweave.scale import lookup_join, settle
 
 CATEGORIES = ["positive", "negative", "subjective", "clickbait", "emotional", "exaggeration"]
 SYLLABLES = r"[aeiouy]+|(?:^| )[^aeiouy ]+(?: |$)"
@@ -78,6 +78,11 @@ def text_statistics(docs: DataFrame, title_col: str, text_col: str) -> DataFrame
     )
 
 
+def _known(rows: list | None) -> bool | None:
+    """A settled table is small; any other is checked where it is joined."""
+    return True if rows is not None else None
+
+
 def linguistic_features(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -95,6 +100,7 @@ def linguistic_features(
     aggregate, whose shuffle then carries about one row per document.
     """
     keep = keep or []
+    lexicon, terms = settle(lexicon)
     credibility = F.col(credibility_col) if credibility_col else F.lit(0.5)
     title = F.lower(T.text_of(title_col))
     stats = text_statistics(docs, title_col, text_col).withColumn(
@@ -108,21 +114,21 @@ def linguistic_features(
     stats = stats.select(
         id_col, *keep, *scalars, credibility.cast("double").alias("_credibility"), "_tokens", "_title_tokens"
     )
-    carried = [*keep, *scalars, "_credibility"]
+    carried = [*scalars, "_credibility"]
     marker = F.array(F.struct(F.lit("").alias("tok"), F.lit(None).cast("boolean").alias("in_title")))
     rows = F.concat(
         marker,
         F.transform("_tokens", lambda t: F.struct(t.alias("tok"), F.lit(False).alias("in_title"))),
         F.transform("_title_tokens", lambda t: F.struct(t.alias("tok"), F.lit(True).alias("in_title"))),
     )
-    exploded = stats.select(id_col, *carried, F.inline(rows))
-    looked_up = lookup_join(exploded, wide_lexicon(lexicon, CATEGORIES, "tok"), ["tok"], "left")
+    exploded = stats.select(id_col, *keep, *carried, F.inline(rows))
+    looked_up = lookup_join(exploded, wide_lexicon(lexicon, CATEGORIES, "tok"), ["tok"], "left", small=_known(terms))
     known = F.col("in_title").isNull() | F.col("positive").isNotNull()
 
     def hits(category: str, in_title: bool) -> Column:
         return F.count_if(F.col(category) & (F.col("in_title") == F.lit(in_title)))
 
-    counted = looked_up.filter(known).groupBy(id_col).agg(
+    counted = looked_up.filter(known).groupBy(id_col, *keep).agg(
         *[F.first(c).alias(c) for c in carried],
         *[hits(c, False).alias(f"_{c}") for c in CATEGORIES],
         *[hits(c, True).alias(f"_title_{c}") for c in CATEGORIES],

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 200_000
+SETTLED_MAX_ROWS = 50_000
 SALTS = 32
 
 
@@ -28,6 +29,21 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def settle(df: DataFrame, max_rows: int = SETTLED_MAX_ROWS) -> tuple[DataFrame, list[tuple] | None]:
+    """Evaluates a small parameter table (a lexicon, a publisher list) once.
+
+    With at most ``max_rows`` rows the table comes back as a local relation together with its
+    rows, so that the plans built on it neither repeat its own plan nor need another
+    size check.  A larger one comes back as it is, with None.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df, None
+    local = df.sparkSession.createDataFrame(rows, df.schema)
+    columns = [c.to_pylist() for c in rows.columns]
+    return local, list(zip(*columns, strict=True))
+
+
 def lookup_join(
     facts: DataFrame,
     table: DataFrame,
@@ -35,15 +51,17 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join a large fact side to a lookup table.
 
-    A table that passes the size check is broadcast.  A larger one is joined by
+    A table that passes the size check is broadcast (``small`` states the outcome where the
+    caller has checked already).  A larger one is joined by
     shuffle, with the fact rows of every key spread over ``salts`` partitions
     and the lookup row repeated once per salt, so a key that holds a third of
     the facts is worked on by ``salts`` tasks.  The result is the same.
     """
-    if fits_broadcast(table, max_rows):
+    if fits_broadcast(table, max_rows) if small is None else small:
         return facts.join(F.broadcast(table), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -97,6 +115,7 @@ def contains_join(
     max_terms: int = 5_000,
     gram: int = 3,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Pairs of rows where the text contains the term as a substring.
 
@@ -107,7 +126,7 @@ def contains_join(
     way, their number is bounded by the alphabet.
     """
     hit = F.col(text_col).contains(F.col(term_col))
-    if fits_broadcast(terms, max_terms):
+    if fits_broadcast(terms, max_terms) if small is None else small:
         return texts.join(F.broadcast(terms), hit)
     short = terms.filter(F.length(term_col) < gram)
     long = terms.filter(F.length(term_col) >= gram).withColumn("_gram", F.substring(term_col, 1, gram))
