@@ -207,13 +207,14 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- documents with planted capitals, so that entity patterns find something -----------------------
 def sql_capitals(expr: str) -> str:
-    word = "CASE WHEN substr(md5(lower(w)), 1, 1) < '4' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END"
+    word = "CASE WHEN substr(w, 1, 1) BETWEEN 'a' AND 'z' AND substr(md5(w), 1, 1) < '4' THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END"
     return f"array_to_string(list_transform({sql_words(expr)}, lambda w: {word}), ' ')"
 
 
 def with_capitals(c: Column | str) -> Column:
     def capital(w: Column) -> Column:
         raised = F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
-        return F.when(F.substring(F.md5(F.lower(w)), 1, 1) < "4", raised).otherwise(w)
+        chosen = F.substring(w, 1, 1).between("a", "z") & (F.substring(F.md5(w), 1, 1) < "4")
+        return F.when(chosen, raised).otherwise(w)
 
     return F.array_join(F.transform(T.words(c), capital), " ")

@@ -46,7 +46,10 @@ def phrase_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
 
 
 def string_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """Constant array of a fixed list; one literal that Catalyst folds, not one per value."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\u001f".join(values)), "\u001f")
 
 
 def contained(text: Column, terms: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
 from claimweave.operators.entities import capitalized_entities
-from claimweave.scale import fits_broadcast, hot_key_join
+from claimweave.scale import cut_lineage, fits_broadcast, hot_key_join
 
 
 def content_words(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
@@ -200,10 +200,12 @@ def gather_evidence(
     """Evidence per claim in feed order: (claim, ord, article_id, title, text, source, url, source_api).
 
     A claim without any hit gets one placeholder article with a null article_id.
+    The candidates come out of a scan of all articles and are used several times, so they are
+    written out once; they are four short columns and at most 40 rows per claim.
     """
-    candidates = select_candidates(queries, articles, asof, id_col, query_col)
+    candidates = cut_lineage(select_candidates(queries, articles, asof, id_col, query_col))
     heads = articles.select("article_id", "title", "url")
-    kept = dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col)
+    kept = cut_lineage(dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col))
     bodies = articles.select("article_id", "title", "text", "source", "url", "source_api")
     found = hot_key_join(kept, bodies, "article_id")
     columns = [id_col, "ord", "article_id", "title", "text", "source", "url", "source_api"]
