@@ -108,7 +108,7 @@ lex_terms AS (
     SELECT unnest(toks) AS t FROM lex_tokens
     UNION ALL
     SELECT unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) FROM lex_tokens)
-  WHERE regexp_matches(t, '^[a-z]+( [a-z]+)?$') AND length(t) > 1),
+  WHERE regexp_matches(t, '^[a-z]+( [a-z]+)?$') AND length(t) > 1 AND (NOT contains(t, ' ') OR substr(md5(t), 5, 1) = '0')),
 lexicon AS (
   SELECT DISTINCT category, term FROM (
     SELECT term, {strings(CATEGORIES)}[(('0x' || substr(md5(term), 1, 2))::INT // 8) + 1] AS category FROM lex_terms
@@ -127,6 +127,7 @@ def planted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "benchmark").select(T.tokenize("text").alias("toks"))
     terms = tokens.select(F.explode(F.concat("toks", T.ngrams(F.col("toks"), 2))).alias("term")).distinct()
     terms = terms.filter(F.col("term").rlike("^[a-z]+( [a-z]+)?$") & (F.length("term") > 1))
+    terms = terms.filter(~F.col("term").contains(" ") | (F.substring(F.md5("term"), 5, 1) == "0"))
     both = F.array_distinct(F.array_compact(F.array(_category(F.col("term"), 1), _category(F.col("term"), 3))))
     return settle(terms.select(F.explode(both).alias("category"), "term"))[0]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import text as T
 from claimweave.scale import contains_join, lookup_join
 
-INLINE_PHRASES = 2_000
+INLINE_PHRASES = 500
 
 
 def wide_lexicon(lexicon: DataFrame, categories: list[str], key: str = "term") -> DataFrame:

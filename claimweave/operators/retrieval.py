@@ -201,8 +201,10 @@ def gather_evidence(
 
     A claim without any hit gets one placeholder article with a null article_id.
     The candidates come out of a scan of all articles and are used several times, so they are
-    written out once; they are four short columns and at most 40 rows per claim.
+    written out once; they are four short columns and at most 40 rows per claim.  The same
+    holds for the queries and the kept articles.
     """
+    queries = cut_lineage(queries.select(id_col, query_col))
     candidates = cut_lineage(select_candidates(queries, articles, asof, id_col, query_col))
     heads = articles.select("article_id", "title", "url")
     kept = cut_lineage(dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col))
