@@ -118,7 +118,7 @@ comp AS (
     least(1.0, cited / greatest(1.0, n / 100.0)::DOUBLE) AS citation_density,
     least(1.0, consp / greatest(10.0, n / 10.0)::DOUBLE) AS conspiracy_score
   FROM comp0),
-scored AS (
+bias_scored AS (
   SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, greatest(0.0,
     (0.25 * political_bias + 0.20 * subjectivity_score + 0.15 * abs(sentiment_score) + 0.15 * exaggeration_score
       + 0.10 * loaded_phrase_score + 0.10 * clickbait_score + 0.05 * (1 - citation_density))
@@ -138,7 +138,7 @@ indicated AS (
     CASE WHEN entity_bias > 0.3 AND n_entities >= 2 THEN 'Shows contrasting sentiment toward different entities' END,
     CASE WHEN loaded_phrase_score > 0.2 THEN 'Uses loaded phrases' END,
     CASE WHEN conspiracy_score > 0.2 THEN 'Contains conspiracy-related language' END], lambda m: m IS NOT NULL), '; ') END AS bias_indicators
-  FROM scored)
+  FROM bias_scored)
 """
 BIAS_SQL = with_ctes(LEXICON_CTE, SOURCES_CTE, DOCS_CTE, ENTITIES_CTE, SENTIMENT_CTE, LEANING_CTE, SCORES_CTE)
 

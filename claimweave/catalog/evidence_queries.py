@@ -340,8 +340,9 @@ def _evidence(spark, sf_dir):
     return R.cap_evidence(R.gather_evidence(_queries(spark, sf_dir), articles(spark, sf_dir), ASOF), 15)
 
 
-def _scored(spark, sf_dir):
-    return E.score_evidence(claims(spark, sf_dir), _evidence(spark, sf_dir), confirming=CONFIRM, denying=DENY)
+def _scored(spark, sf_dir, evidence=None):
+    evidence = _evidence(spark, sf_dir) if evidence is None else evidence
+    return E.score_evidence(claims(spark, sf_dir), evidence, confirming=CONFIRM, denying=DENY)
 
 
 @query(
@@ -434,8 +435,9 @@ def consensus(spark, sf_dir):
     return rounded(out.select("claim_id", E.consensus(base).alias("blended")))
 
 
-def _checked(spark, sf_dir):
-    return E.check_facts(claims(spark, sf_dir), cut_lineage(_scored(spark, sf_dir)), credible=CREDIBLE)
+def _checked(spark, sf_dir, scored=None):
+    scored = cut_lineage(_scored(spark, sf_dir)) if scored is None else scored
+    return E.check_facts(claims(spark, sf_dir), scored, credible=CREDIBLE)
 
 
 @query(

@@ -68,13 +68,16 @@ def augment_minority(
     n = F.size("_words")
     drop = F.greatest(F.lit(1), F.floor(n * share).cast("int"))
     prepared = df.withColumn("_words", T.words(text_col)).filter(n > 10)
-    keyed = F.array_sort(
-        F.transform("_words", lambda w, i: F.struct(keyed_digest(seed, F.col(id_col), i).alias("k"), i.alias("pos")))
+    drawn = F.array_sort(
+        F.transform(
+            "_words",
+            lambda w, i: F.struct(keyed_digest(seed, F.col(id_col), i).alias("k"), i.alias("pos"), w.alias("w")),
+        )
     )
-    prepared = prepared.withColumn("_out", F.transform(F.slice(keyed, F.lit(1), drop), lambda s: s["pos"]))
-    placed = F.transform("_words", lambda w, i: F.when(~F.array_contains("_out", i), w))
-    copies = prepared.withColumn(text_col, F.array_join(F.filter(placed, lambda w: w.isNotNull()), " "))
-    copies = copies.drop("_words", "_out").withColumn("augmented", F.lit(True))
+    # the kept words are brought back into order; looking positions up per word would be quadratic
+    kept = F.array_sort(F.transform(F.slice(drawn, drop + 1, n), lambda s: F.struct(s["pos"], s["w"])))
+    copies = prepared.withColumn(text_col, F.array_join(F.transform(kept, lambda s: s["w"]), " "))
+    copies = copies.drop("_words").withColumn("augmented", F.lit(True))
     return df.withColumn("augmented", F.lit(False)).unionByName(copies)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as fixed
@@ -33,8 +33,9 @@ def write_verifications(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def render_reports(df: DataFrame) -> DataFrame:
     """Plain-text report per claim; ``checked_at`` is the time stated on it."""
-    def number(c: str):
-        return F.coalesce(F.format_string("%.4f", F.nullif(F.col(c), F.lit(0.0))), F.lit("N/A"))
+
+    def number(c: str) -> Column:
+        return F.when(F.col(c) != 0, F.format_string("%.4f", F.col(c))).otherwise("N/A")
 
     report = F.concat_ws(
         "\n",
