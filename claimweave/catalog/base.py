@@ -111,16 +111,16 @@ lex_terms AS (
   WHERE regexp_matches(t, '^[a-z]+( [a-z]+)?$') AND length(t) > 1 AND (NOT contains(t, ' ') OR substr(md5(t), 5, 1) = '0')),
 lexicon AS (
   SELECT DISTINCT category, term FROM (
-    SELECT term, {strings(CATEGORIES)}[(('0x' || substr(md5(term), 1, 2))::INT // 8) + 1] AS category FROM lex_terms
+    SELECT term, {strings(CATEGORIES)}[(('0x' || substr(md5(term), 1, 2))::INT // 2) + 1] AS category FROM lex_terms
     UNION ALL
-    SELECT term, {strings(CATEGORIES)}[(('0x' || substr(md5(term), 3, 2))::INT // 8) + 1] FROM lex_terms)
+    SELECT term, {strings(CATEGORIES)}[(('0x' || substr(md5(term), 3, 2))::INT // 2) + 1] FROM lex_terms)
   WHERE category IS NOT NULL)
 """
 
 
 def _category(term: Column, at: int) -> Column:
     value = F.conv(F.substring(F.md5(term), at, 2), 16, 10).cast("int")
-    return F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.floor(value / 8).cast("int"))
+    return F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.floor(value / 2).cast("int"))
 
 
 def planted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from claimweave.catalog.base import (
 )
 from claimweave.catalog.lexicon_queries import LEANING_CTE
 from claimweave.operators import bias
-from claimweave.operators.entities import bias_entities
+from claimweave.operators.entities import with_bias_entities
 
 CITATIONS = ["stated", "said", "source", "nd the", "tion of"]
 EDGE_L, EDGE_R = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
@@ -211,7 +211,8 @@ for _name, _columns in VIEWS.items():
 )
 def bias_entity_counts(spark, sf_dir):
     full = F.concat("title", F.lit(" "), "text")
-    rows = bias_docs(spark, sf_dir).select("doc_id", F.inline(bias_entities(full)))
+    docs = bias_docs(spark, sf_dir).select("doc_id", full.alias("cased"))
+    rows = with_bias_entities(docs, F.col("cased")).select("doc_id", F.inline("bias_entities"))
     return rows.groupBy("doc_id", "etype", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
-from claimweave.operators.entities import bias_entity_array
+from claimweave.operators.entities import with_bias_entities
 from claimweave.operators.features import _known, ratio
 from claimweave.operators.lexical import (
     INLINE_PHRASES,
     contained,
+    count_where,
+    in_list,
+    inline_terms,
     phrases_of,
     string_array,
     whole_word_occurrences,
@@ -61,29 +64,40 @@ def with_source_leaning(
 def entity_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", title_col: str = "title",
                      text_col: str = "text") -> DataFrame:
     """Sentiment of every entity over the sentences that contain it."""
-    lexicon, terms = settle(lexicon)
+    lexicon, terms = settle(lexicon.select("category", "term"))
     cased = F.concat(T.text_of(title_col), F.lit(" "), T.text_of(text_col))
     full = F.concat(T.normalize_ws(title_col), F.lit(" "), T.normalize_ws(text_col))
-    found = docs.select(id_col, F.array_distinct(bias_entity_array(cased)).alias("_entities"), full.alias("_full"))
+    found = with_bias_entities(docs.select(id_col, cased.alias("_cased"), full.alias("_full")), F.col("_cased"))
+    names = F.array_distinct(F.transform("bias_entities", lambda s: s["entity"]))
+    lowered = F.transform(names, lambda e: F.struct(e.alias("entity"), F.lower(e).alias("low")))
+    found = found.select(id_col, "_full", lowered.alias("_entities"))
     # no filter on the entities: it would be pushed to the scan and match every pattern a second time
     wanted = F.when(F.size("_entities") > 0, T.sentences("_full"))
     sents = found.select(id_col, "_entities", F.posexplode(wanted).alias("_pos", "_sentence"))
-    sents = sents.select(
-        id_col,
-        "_pos",
-        "_sentence",
-        F.filter("_entities", lambda e: F.col("_sentence").contains(F.lower(e))).alias("_entities"),
-    ).filter(F.size("_entities") > 0)
-    tokens = sents.select(
-        id_col, "_pos", "_entities", F.explode(F.concat(F.array(F.lit("")), T.tokenize("_sentence"))).alias("tok")
-    )
-    flags = wide_lexicon(lexicon, ["positive", "negative"], "tok")
-    counted = (
-        lookup_join(tokens, flags, ["tok"], "left", small=_known(terms))
-        .filter((F.col("tok") == "") | F.col("positive").isNotNull())
-        .groupBy(id_col, "_pos", "_entities")
-        .agg(F.count_if("positive").alias("p"), F.count_if("negative").alias("n"))
-    )
+    inside = F.filter("_entities", lambda e: F.col("_sentence").contains(e["low"]))
+    inside = F.transform(inside, lambda e: e["entity"])
+    sents = sents.select(id_col, "_pos", "_sentence", inside.alias("_entities"))
+    tokens = F.when(F.size("_entities") > 0, T.tokenize("_sentence"))
+    by = inline_terms(terms, ["positive", "negative"])
+    if by is not None:
+        tokened = sents.select(id_col, "_entities", tokens.alias("_tokens"))
+        counted = tokened.select(
+            id_col,
+            "_entities",
+            count_where("_tokens", "t", in_list("t", by["positive"])).alias("p"),
+            count_where("_tokens", "t", in_list("t", by["negative"])).alias("n"),
+        )
+    else:
+        rows = sents.select(
+            id_col, "_pos", "_entities", F.explode(F.concat(F.array(F.lit("")), tokens)).alias("tok")
+        )
+        flags = wide_lexicon(lexicon, ["positive", "negative"], "tok")
+        counted = (
+            lookup_join(rows, flags, ["tok"], "left", small=_known(terms))
+            .filter((F.col("tok") == "") | F.col("positive").isNotNull())
+            .groupBy(id_col, "_pos", "_entities")
+            .agg(F.count_if("positive").alias("p"), F.count_if("negative").alias("n"))
+        )
     per_entity = counted.select(id_col, F.explode("_entities").alias("entity"), "p", "n")
     per_entity = per_entity.groupBy(id_col, "entity").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     return per_entity.select(id_col, "entity", ratio(F.col("p") - F.col("n"), F.col("p") + F.col("n")).alias("sentiment"))
@@ -209,40 +223,40 @@ def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, terms: list[tuple]
     return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
 
 
-def score_bias(
-    docs: DataFrame,
-    lexicon: DataFrame,
-    sources: DataFrame,
-    id_col: str = "doc_id",
-    title_col: str = "title",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: dict[str, float] | None = None,
-    citation_patterns: list[str] = fixed.CITATION_PATTERNS,
-    with_entities: bool = True,
+def _count_inline(base: DataFrame, by: dict[str, list[str]]) -> DataFrame:
+    """Token hits per category inside each row: no shuffle at all.
+
+    One pass cuts the (token, previous token) pairs to those that matter to any category,
+    the categories then look at few.
+    """
+    single = sorted(set().union(*[by[c] for c in TOKEN_CATEGORIES]))
+    pair = {c: [t for t in by[c] if " " in t] for c in ("left", "right")}
+    bigram = "concat(s.prev, ' ', s.tok)"
+    matters = f"{in_list('s.tok', single)} OR {in_list(bigram, sorted(set(pair['left'] + pair['right'])))}"
+    loaded = in_list("w", sorted({t.lower() for t in by["loaded"] if " " not in t}))
+    found = base.withColumn("_pairs", with_previous(F.col("_tokens")))
+    found = found.withColumn("_found", F.expr(f"filter(_pairs, s -> {matters})")).withColumn("_words", T.words("_full"))
+    is_in = {c: in_list("s.tok", by[c]) for c in TOKEN_CATEGORIES}
+    strong = in_list("s.prev", by["exaggeration"])
+    conditions = {f"_{c}": is_in[c] for c in TOKEN_CATEGORIES} | {
+        "_left_pairs": in_list(bigram, pair["left"]),
+        "_right_pairs": in_list(bigram, pair["right"]),
+        "_more_positive": f"{is_in['positive']} AND {strong}",
+        "_more_negative": f"{is_in['negative']} AND NOT ({is_in['positive']}) AND {strong}",
+        "_more_subjective": f"{is_in['subjective']} AND s.prev IS NOT NULL",
+    }
+    counts = {name: count_where("_found", "s", condition) for name, condition in conditions.items()}
+    return found.withColumns(counts | {"_loaded": count_where("_words", "w", loaded)})
+
+
+def _count_by_join(
+    base: DataFrame, lexicon: DataFrame, small: bool | None, id_col: str, source_col: str, scalars: list[str]
 ) -> DataFrame:
-    """All bias components, the score and the indicators, one row per document.
+    """The same counts for a lexicon of any size.
 
-    ``lexicon`` has (category, term), ``sources`` (leaning, name, ord).  The tokens
-    are exploded once and shared by all categories; only hits and one marker row per
-    document are aggregated.
+    Tokens and whitespace words are exploded once and looked up; only hits and one marker
+    row per document are aggregated.
     """
-    lexicon, terms = settle(lexicon.select("category", "term"))
-    small = _known(terms)
-    title, text = T.normalize_ws(title_col), T.normalize_ws(text_col)
-    base = docs.select(
-        id_col,
-        F.coalesce(F.col(source_col), F.lit("")).alias(source_col),
-        title.alias("_title"),
-        F.concat(title, F.lit(" "), text).alias("_full"),
-    )
-    base = base.withColumn("_tokens", T.tokenize("_full")).withColumn("n_tokens", F.size("_tokens").cast("long"))
-    cited = sum((T.occurrences(F.col("_full"), p) for p in citation_patterns), F.lit(0).cast("long"))
-    base = _with_phrase_counts(base.withColumn("_citations", cited), lexicon, terms, id_col)
-    scalars = [
-        "n_tokens", "_citations", "_left_phrases", "_right_phrases", "_conspiracy_phrases",
-        "_loaded_phrases", "_bait_title", "_bait_body",
-    ]
     none = F.lit(None).cast("string")
     rows = F.concat(
         F.array(F.struct(F.lit("").alias("tok"), none.alias("prev"), F.lit("m").alias("kind"))),
@@ -282,6 +296,47 @@ def score_bias(
         n(is_token & has_prev & F.col("subjective")).alias("_more_subjective"),
         n((F.col("kind") == "w") & F.col("loaded")).alias("_loaded"),
     )
+    return counted
+
+
+def score_bias(
+    docs: DataFrame,
+    lexicon: DataFrame,
+    sources: DataFrame,
+    id_col: str = "doc_id",
+    title_col: str = "title",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: dict[str, float] | None = None,
+    citation_patterns: list[str] = fixed.CITATION_PATTERNS,
+    with_entities: bool = True,
+) -> DataFrame:
+    """All bias components, the score and the indicators, one row per document.
+
+    ``lexicon`` has (category, term), ``sources`` (leaning, name, ord).  A small lexicon
+    is counted inside the rows, a large one by a join of the exploded tokens.
+    """
+    lexicon, terms = settle(lexicon.select("category", "term"))
+    small = _known(terms)
+    title, text = T.normalize_ws(title_col), T.normalize_ws(text_col)
+    base = docs.select(
+        id_col,
+        F.coalesce(F.col(source_col), F.lit("")).alias(source_col),
+        title.alias("_title"),
+        F.concat(title, F.lit(" "), text).alias("_full"),
+    )
+    base = base.withColumn("_tokens", T.tokenize("_full")).withColumn("n_tokens", F.size("_tokens").cast("long"))
+    cited = sum((T.occurrences(F.col("_full"), p) for p in citation_patterns), F.lit(0).cast("long"))
+    base = _with_phrase_counts(base.withColumn("_citations", cited), lexicon, terms, id_col)
+    scalars = [
+        "n_tokens", "_citations", "_left_phrases", "_right_phrases", "_conspiracy_phrases",
+        "_loaded_phrases", "_bait_title", "_bait_body",
+    ]
+    by = inline_terms(terms, [*TOKEN_CATEGORIES, "loaded"])
+    if by is not None:
+        counted = _count_inline(base, by)
+    else:
+        counted = _count_by_join(base, lexicon, small, id_col, source_col, scalars)
     leaning, leaning_rows = settle(source_leaning(docs, sources, source_col))
     counted = with_source_leaning(counted, leaning, source_col, _known(leaning_rows))
     if with_entities:

@@ -10,13 +10,21 @@ from claimweave.functions import text as T
 
 
 def _bounded(pattern: str) -> str:
-    """The pattern between word boundaries."""
-    return T.WORD_EDGE + r"(?:" + pattern + r")" + T.WORD_EDGE
+    """The pattern between word boundaries.
+
+    A pattern of plain words only needs no word character around it.  One with a dot or a
+    dollar sign at an end takes the full definition of a boundary.  Looking for the capital
+    first lets most positions fail on their first character.
+    """
+    if r"\." in pattern or r"\$" in pattern:
+        return T.WORD_EDGE + r"(?:" + pattern + r")" + T.WORD_EDGE
+    ahead = "(?=[A-Z])" if pattern.startswith("[A-Z]") else ""
+    return ahead + T.NO_WORD_BEFORE + r"(?:" + pattern + r")" + T.NO_WORD_AFTER
 
 
 def capitalized_entities(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
     """Runs of capitalised words longer than two characters that are no stopword."""
-    runs = T.find_all(T.text_of(c), T.NO_WORD_BEFORE + r"[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*")
+    runs = T.find_all(T.text_of(c), "(?=[A-Z])" + T.NO_WORD_BEFORE + r"[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*")
     return F.filter(runs, lambda e: (F.length(e) > 2) & ~F.lower(e).isin(stopwords))
 
 
@@ -24,19 +32,18 @@ def simple_entities(c: Column | str) -> Column:
     return T.find_all(T.text_of(c), _bounded("[A-Z][a-z]+"))
 
 
-def bias_entity_array(c: Column | str) -> Column:
-    """Entities of the bias scorer in order of type, duplicates kept."""
-    return F.transform(bias_entities(c), lambda s: s["entity"])
+def with_bias_entities(df: DataFrame, text: Column, out: str = "bias_entities") -> DataFrame:
+    """Adds the bias scorer's entities as an array of (etype, entity), in order of type.
 
-
-def bias_entities(c: Column | str) -> Column:
-    """Array of (etype, entity); OTHER only holds what the typed patterns did not take."""
-    text = T.text_of(c)
-    typed = {k: T.find_all(text, _bounded(p)) for k, p in fixed.BIAS_ENTITY_PATTERNS.items()}
-    taken = F.concat(typed["PERSON"], typed["ORG"], typed["GPE"])
-    typed["OTHER"] = F.array_except(typed["OTHER"], taken)
-    tagged = [F.transform(v, _tag(k)) for k, v in typed.items()]
-    return F.concat(*tagged)
+    Typed matches keep their duplicates; OTHER only holds what the typed patterns did not
+    take.  The matches become columns of their own first, so that every pattern runs once.
+    """
+    raw = {k: T.find_all(text, _bounded(p)) for k, p in fixed.BIAS_ENTITY_PATTERNS.items()}
+    found = df.withColumns({f"_{k}": v for k, v in raw.items()})
+    taken = F.concat("_PERSON", "_ORG", "_GPE")
+    tagged = [F.transform(f"_{k}", _tag(k)) for k in ("PERSON", "ORG", "GPE")]
+    tagged.append(F.transform(F.array_except("_OTHER", taken), _tag("OTHER")))
+    return found.withColumn(out, F.concat(*tagged)).drop(*[f"_{k}" for k in raw])
 
 
 def _tag(etype: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
-from claimweave.operators.lexical import wide_lexicon
+from claimweave.operators.lexical import count_where, in_list, inline_terms, wide_lexicon
 from claimweave.scale import lookup_join, settle
 
 CATEGORIES = ["positive", "negative", "subjective", "clickbait", "emotional", "exaggeration"]
@@ -83,6 +83,49 @@ def _known(rows: list | None) -> bool | None:
     return True if rows is not None else None
 
 
+def _count_inline(stats: DataFrame, by: dict[str, list[str]]) -> DataFrame:
+    """Hits per category inside each row: no shuffle at all.
+
+    The tokens are first cut to those any category has, the categories then look at few.
+    """
+    every = in_list("t", sorted(set().union(*by.values())))
+    found = stats.withColumns(
+        {"_found": F.expr(f"filter(_tokens, t -> {every})"), "_title_found": F.expr(f"filter(_title_tokens, t -> {every})")}
+    )
+    counts = {f"_{c}": count_where("_found", "t", in_list("t", v)) for c, v in by.items()}
+    counts |= {f"_title_{c}": count_where("_title_found", "t", in_list("t", v)) for c, v in by.items()}
+    return found.withColumns(counts)
+
+
+def _count_by_join(
+    stats: DataFrame, lexicon: DataFrame, small: bool | None, id_col: str, keep: list[str], carried: list[str]
+) -> DataFrame:
+    """The same counts for a lexicon of any size.
+
+    The tokens of title and text are exploded once and looked up; only hits (plus one
+    marker row per document) reach the aggregate, whose shuffle carries about one row
+    per document.
+    """
+    marker = F.array(F.struct(F.lit("").alias("tok"), F.lit(None).cast("boolean").alias("in_title")))
+    rows = F.concat(
+        marker,
+        F.transform("_tokens", lambda t: F.struct(t.alias("tok"), F.lit(False).alias("in_title"))),
+        F.transform("_title_tokens", lambda t: F.struct(t.alias("tok"), F.lit(True).alias("in_title"))),
+    )
+    exploded = stats.select(id_col, *keep, *carried, F.inline(rows))
+    looked_up = lookup_join(exploded, wide_lexicon(lexicon, CATEGORIES, "tok"), ["tok"], "left", small=small)
+    known = F.col("in_title").isNull() | F.col("positive").isNotNull()
+
+    def hits(category: str, in_title: bool) -> Column:
+        return F.count_if(F.col(category) & (F.col("in_title") == F.lit(in_title)))
+
+    return looked_up.filter(known).groupBy(id_col, *keep).agg(
+        *[F.first(c).alias(c) for c in carried],
+        *[hits(c, False).alias(f"_{c}") for c in CATEGORIES],
+        *[hits(c, True).alias(f"_title_{c}") for c in CATEGORIES],
+    )
+
+
 def linguistic_features(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -95,9 +138,7 @@ def linguistic_features(
 ) -> DataFrame:
     """All sixteen features, one row per document.
 
-    One scan: the tokens of title and text are exploded once, looked up in the
-    lexicon, and only hits (plus one marker row per document) reach the
-    aggregate, whose shuffle then carries about one row per document.
+    One scan.  A small lexicon is counted inside the rows, a large one by a join.
     """
     keep = keep or []
     lexicon, terms = settle(lexicon)
@@ -114,25 +155,11 @@ def linguistic_features(
     stats = stats.select(
         id_col, *keep, *scalars, credibility.cast("double").alias("_credibility"), "_tokens", "_title_tokens"
     )
-    carried = [*scalars, "_credibility"]
-    marker = F.array(F.struct(F.lit("").alias("tok"), F.lit(None).cast("boolean").alias("in_title")))
-    rows = F.concat(
-        marker,
-        F.transform("_tokens", lambda t: F.struct(t.alias("tok"), F.lit(False).alias("in_title"))),
-        F.transform("_title_tokens", lambda t: F.struct(t.alias("tok"), F.lit(True).alias("in_title"))),
-    )
-    exploded = stats.select(id_col, *keep, *carried, F.inline(rows))
-    looked_up = lookup_join(exploded, wide_lexicon(lexicon, CATEGORIES, "tok"), ["tok"], "left", small=_known(terms))
-    known = F.col("in_title").isNull() | F.col("positive").isNotNull()
-
-    def hits(category: str, in_title: bool) -> Column:
-        return F.count_if(F.col(category) & (F.col("in_title") == F.lit(in_title)))
-
-    counted = looked_up.filter(known).groupBy(id_col, *keep).agg(
-        *[F.first(c).alias(c) for c in carried],
-        *[hits(c, False).alias(f"_{c}") for c in CATEGORIES],
-        *[hits(c, True).alias(f"_title_{c}") for c in CATEGORIES],
-    )
+    by = inline_terms(terms, CATEGORIES)
+    if by is not None:
+        counted = _count_inline(stats, by)
+    else:
+        counted = _count_by_join(stats, lexicon, _known(terms), id_col, keep, [*scalars, "_credibility"])
     n, nt = F.col("n_tokens"), F.col("n_title_tokens")
     sentiment = polarity(F.col("_positive"), F.col("_negative"))
     title_sentiment = polarity(F.col("_title_positive"), F.col("_title_negative"))

@@ -9,6 +9,7 @@ from claimweave.functions import text as T
 from claimweave.scale import contains_join, lookup_join
 
 INLINE_PHRASES = 500
+INLINE_TERMS = 1_000
 
 
 def wide_lexicon(lexicon: DataFrame, categories: list[str], key: str = "term") -> DataFrame:
@@ -60,3 +61,22 @@ def contained(text: Column, terms: list[str]) -> Column:
 def whole_word_occurrences(text: Column, phrase: Column) -> Column:
     pattern = F.concat(F.lit(T.NO_WORD_BEFORE + r"\Q"), phrase, F.lit(r"\E" + T.NO_WORD_AFTER))
     return F.regexp_count(text, pattern)
+
+
+def inline_terms(rows: list[tuple] | None, categories: list[str]) -> dict[str, list[str]] | None:
+    """Terms by category of a settled (category, term) table when it is small enough for the plan, else None."""
+    if rows is None or len(rows) > INLINE_TERMS:
+        return None
+    return {c: sorted({term for category, term in rows if category == c}) for c in categories}
+
+
+def in_list(value: str, terms: list[str]) -> str:
+    """SQL membership test in a fixed list; Catalyst turns a long one into a hash set."""
+    if not terms:
+        return "false"
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+    return f"{value} IN ({quoted})"
+
+
+def count_where(array: str, variable: str, condition: str) -> Column:
+    return F.expr(f"CAST(size(filter({array}, {variable} -> {condition})) AS BIGINT)")
