@@ -88,7 +88,7 @@ def assemble(
     if embedding_col:
         out = out.withColumn("embedding_vector", array_to_vector(embedding_col))
         inputs = ["embedding_vector", *inputs]
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out)
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(out)
 
 
 def train_classifier(

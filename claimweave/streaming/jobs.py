@@ -26,7 +26,11 @@ def verify_stream(claims: DataFrame, tables: Tables, out: str, checkpoint: str,
 def suppress_repeats(
     requests: DataFrame, query_col: str = "query", ts_col: str = "ts", within: str = "1 hour"
 ) -> DataFrame:
-    """The first request of each query key within the time span."""
+    """The first request of each query key within the time span.
+
+    A key is forgotten when the watermark, which trails the newest request of any key by the
+    same span, has passed its end; until then further repeats stay suppressed.
+    """
     keyed = requests.withColumn("query_key", T.cache_key("query_", query_col))
     return keyed.withWatermark(ts_col, within).dropDuplicatesWithinWatermark(["query_key"])
 
