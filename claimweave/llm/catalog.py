@@ -1,6 +1,30 @@
 """All registered queries of this folder."""
 
-from claimweave.llm import best_fit_packing, secret_scan, simhash_golay, url_filter
+from claimweave.llm import (
+    best_fit_packing,
+    closed_syncmers,
+    decontamination,
+    language_id,
+    line_dedup,
+    pii_surrogates,
+    secret_scan,
+    simhash_golay,
+    toxicity,
+    url_filter,
+)
 from claimweave.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "best_fit_packing", "secret_scan", "simhash_golay", "url_filter"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "best_fit_packing",
+    "closed_syncmers",
+    "decontamination",
+    "language_id",
+    "line_dedup",
+    "pii_surrogates",
+    "secret_scan",
+    "simhash_golay",
+    "toxicity",
+    "url_filter",
+]

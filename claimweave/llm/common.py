@@ -87,3 +87,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 100) -
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Marks ``df`` for broadcast if a count of at most ``max_rows`` + 1 rows proves it small, else leaves the join to a shuffle.
+
+    For tables already written and of a few numbers a row; the result of the join is the same.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
