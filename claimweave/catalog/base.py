@@ -14,8 +14,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SMALL_SCAN_BYTES = 1 << 30
-
 
 def query(name: str, sql: str | None = None):
     """Registers a query; ``sql`` is the same result in DuckDB."""
@@ -35,18 +33,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.
-
-    A table of one small file is read by one task; text-heavy ones are spread over the
-    cores.  A large table has enough splits of its own and is left as it is.
-    """
+    """A given table as its files are split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages", "conversations"):
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < SMALL_SCAN_BYTES:
-            return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- SQL snippets -------------------------------------------------------------------------

@@ -71,16 +71,16 @@ def lexicon_stats(spark, sf_dir):
 
 MERGED = """, fresh AS (
   SELECT DISTINCT CASE WHEN substr(md5(tok), 3, 1) < '8' THEN 'positive' ELSE 'negative' END AS category, tok AS term
-  FROM doc_tokens WHERE regexp_matches(tok, '^[a-z]+$') AND substr(md5(tok), 1, 2) = '00')"""
+  FROM doc_tokens WHERE regexp_matches(tok, '^[a-z]+$'))"""
 
 
 def fresh_terms(spark, sf_dir):
-    """Further terms, planted from the tokens of all documents."""
+    """Further terms: all plain tokens of all documents, on a side by their digest."""
     from claimweave.functions import text as T
 
     tokens = table(spark, sf_dir, "documents").select(F.explode(T.tokenize("text")).alias("term")).distinct()
     digest = F.md5("term")
-    chosen = tokens.filter(F.col("term").rlike("^[a-z]+$") & (F.substring(digest, 1, 2) == "00"))
+    chosen = tokens.filter(F.col("term").rlike("^[a-z]+$"))
     side = F.when(F.substring(digest, 3, 1) < "8", "positive").otherwise("negative")
     return chosen.select(side.alias("category"), "term")
 

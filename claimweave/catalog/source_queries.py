@@ -15,12 +15,14 @@ STAMP = "'2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00Z'"
 def _item(newsapi: bool = False, media: bool = False):
     docs_title = F.when(F.pmod("doc_id", F.lit(9)) != 4, F.substring_index("text", "\n", 1))
     url = F.when(F.pmod("doc_id", F.lit(7)) != 2, F.concat(F.lit("http://x.org/"), F.col("doc_id").cast("string")))
-    described = F.when(F.pmod("doc_id", F.lit(5)) != 1, F.substring("text", 1, 60))
+    # NewsAPI has the first line as description and the rest as content, the others the whole text
+    first = F.substring_index("text", "\n", 1)
+    described = F.when(F.pmod("doc_id", F.lit(5)) != 1, first if newsapi else F.col("text"))
     named = F.when(F.pmod("doc_id", F.lit(4)) != 3, F.col("source"))
     stamp = F.concat(F.lit("2024-01-"), F.lpad((F.pmod("doc_id", F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("T10:00:00Z"))
     fields = [docs_title.alias("title"), described.alias("description"), url.alias("url")]
     if newsapi:
-        fields.append(F.when(F.pmod("doc_id", F.lit(3)) != 0, F.substring("text", 61, 40)).alias("content"))
+        fields.append(F.when(F.pmod("doc_id", F.lit(3)) != 0, F.substring("text", F.length(first) + 2, F.length("text"))).alias("content"))
     if media:
         return F.struct(*fields, stamp.alias("published_at"), named.alias("source"))
     return F.struct(*fields, stamp.alias("publishedAt"), F.struct(named.alias("name")).alias("source"))
@@ -44,14 +46,15 @@ def _sql(default: str, api: str, text: str, where: str) -> str:
       1704103200 + doc_id % 28 * 86400 AS published_at, '{api}' AS source_api FROM documents {where}"""
 
 
-DESCRIBED = "CASE WHEN doc_id % 5 <> 1 THEN substr(text, 1, 60) ELSE '' END"
-CONTENT = "substr(text, 61, 40)"
+DESCRIBED = "CASE WHEN doc_id % 5 <> 1 THEN text ELSE '' END"
+FIRST = f"CASE WHEN doc_id % 5 <> 1 THEN {TITLE} ELSE '' END"
+CONTENT = f"substr(text, length({TITLE}) + 2)"
 NEWS_WHERE = f"WHERE doc_id % 11 <> 5 AND doc_id % 9 <> 4 AND {TITLE} <> '' AND doc_id % 7 <> 2"
 
 
 @query(
     "normalize_newsapi",
-    _sql("NewsAPI", "newsapi", f"{DESCRIBED} || CASE WHEN doc_id % 3 <> 0 AND {CONTENT} <> '' THEN ' ' || {CONTENT} ELSE '' END", NEWS_WHERE),
+    _sql("NewsAPI", "newsapi", f"{FIRST} || CASE WHEN doc_id % 3 <> 0 AND {CONTENT} <> '' THEN ' ' || {CONTENT} ELSE '' END", NEWS_WHERE),
 )
 def normalize_newsapi(spark, sf_dir):
     return _seconds(feeds.normalize_newsapi(_payloads(spark, sf_dir, "articles", newsapi=True)))
@@ -122,7 +125,7 @@ def extract_article_text(spark, sf_dir):
 @query(
     "fill_articles",
     PAGES_CTE
-    + """, a AS (SELECT doc_id AS article_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 900) ELSE text END AS text, u.url AS url
+    + """, a AS (SELECT doc_id AS article_id, text, CASE WHEN doc_id % 10 <> 3 THEN u.url ELSE '' END AS url
       FROM documents LEFT JOIN pages u ON u.page_id = doc_id),
     f AS (SELECT url, min_by(CASE WHEN length(full_text) > 2000 THEN substr(full_text, 1, 2000) || '...' ELSE full_text END, page_id) AS t,
       min_by(full_text, page_id) AS ft FROM p WHERE full_text <> '' GROUP BY url)
@@ -131,9 +134,9 @@ def extract_article_text(spark, sf_dir):
 )
 def fill_articles(spark, sf_dir):
     stored = table(spark, sf_dir, "pages")
-    text = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.substring("text", 1, 900)).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), text.alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
     docs = docs.join(stored.select(F.col("page_id").alias("article_id"), "url"), "article_id", "left")
+    docs = docs.withColumn("url", F.when(F.pmod("article_id", F.lit(10)) != 3, F.col("url")).otherwise(""))
     out = pages.fill_articles(docs, pages.extract_article_text(stored))
     return out.select("article_id", F.md5("full_text").alias("full_text"), F.md5("text").alias("text"))
 

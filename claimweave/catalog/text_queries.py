@@ -243,11 +243,10 @@ def sql_similar(a: str, b: str) -> str:
 
 @query(
     "entities_similar",
-    f"WITH {TURNS} SELECT conv_id, turn, {sql_similar('substr(ta, 1, 40)', 'substr(tb, 1, 40)')} AS similar FROM turns",
+    f"WITH {TURNS} SELECT conv_id, turn, {sql_similar('ta', 'tb')} AS similar FROM turns",
 )
 def entities_similar(spark, sf_dir):
-    a, b = F.substring("ta", 1, 40), F.substring("tb", 1, 40)
-    return turns(spark, sf_dir).select("conv_id", "turn", T.entities_similar(a, b).alias("similar"))
+    return turns(spark, sf_dir).select("conv_id", "turn", T.entities_similar(F.col("ta"), F.col("tb")).alias("similar"))
 
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"

@@ -13,19 +13,19 @@ from claimweave.sources.store import validate_feature_store
 
 LIAR = ["pants-fire", "false", "barely-true", "half-true", "mostly-true", "true", "other"]
 
-# Half of the documents as fact-check rows, half as labelled articles.
+# All documents as fact-check rows, and all once more as labelled articles; copies differ by their key.
 LIAR_CTE = f"""
 liar AS (
   SELECT doc_id::VARCHAR AS id, '' AS title, text, {strings(LIAR)}[doc_id % 7 + 1] AS label, source, lang AS context_info, 'politics' AS subject,
     'liar' AS dataset_source, (doc_id % 11 + doc_id % 5) / greatest(doc_id % 11 + doc_id % 5 + doc_id % 3 + doc_id % 2 + doc_id % 4, 1)::DOUBLE AS source_credibility,
-    CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'party' || doc_id % 4 END AS political_affiliation FROM documents WHERE doc_id % 2 = 0)
+    CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'party' || doc_id % 4 END AS political_affiliation FROM documents)
 """
 ISOT_CTE = """
 isot AS (
-  SELECT md5(split_part(text, chr(10), 1) || '‖' || text) AS id, split_part(text, chr(10), 1) AS title, text,
+  SELECT md5(split_part(text, chr(10), 1) || '‖' || text) || '-' || doc_id AS id, split_part(text, chr(10), 1) AS title, text,
     CASE WHEN doc_id % 3 = 0 THEN 'fake' ELSE 'real' END AS label, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS source, '' AS context_info,
     CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS subject, 'isot' AS dataset_source, 0.5::DOUBLE AS source_credibility, '' AS political_affiliation
-  FROM documents WHERE doc_id % 2 = 1)
+  FROM documents)
 """
 CORPUS_CTE = f"""
 {LIAR_CTE.strip()},
@@ -44,7 +44,7 @@ def _mod(n: int):
 
 
 def liar_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(_mod(2) == 0)
+    docs = table(spark, sf_dir, "documents")
     label = F.get(F.array(*[F.lit(x) for x in LIAR]), _mod(7).cast("int"))
     party = F.when(_mod(4) != 0, F.concat(F.lit("party"), _mod(4).cast("string")))
     raw = docs.select(
@@ -57,12 +57,11 @@ def liar_rows(spark, sf_dir):
 
 
 def isot_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(_mod(2) == 1)
-    raw = docs.select(
-        F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("content"),
+    raw = table(spark, sf_dir, "documents").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("content"),
         F.when(_mod(5) != 0, F.col("lang")).alias("subject"), F.when(_mod(3) == 0, "fake").otherwise("real").alias("label"),
     )
-    return corpora.isot_corpus(raw)
+    return corpora.isot_corpus(raw, F.col("doc_id"))
 
 
 def corpus(spark, sf_dir):

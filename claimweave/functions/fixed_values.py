@@ -143,6 +143,7 @@ DENYING_TERMS = _terms("deny, debunk, disprove, false, incorrect, hoax, fake")
 
 FEED_ORDER = ("newsapi", "gnews", "mediastack")
 FEED_LIMITS = {"newsapi": 20, "gnews": 10, "mediastack": 10}
+OTHER_FEED_LIMIT = 10
 FEED_MAX_AGE_DAYS = {"newsapi": 30}
 FEED_EXCLUDED_CATEGORIES = {"mediastack": ("general", "sports")}
 MODES = [  # mode, use knowledge tables, knowledge timeout, article cap

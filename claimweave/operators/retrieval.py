@@ -11,6 +11,9 @@ from claimweave.operators.entities import capitalized_entities
 from claimweave.scale import cut_lineage, fits_broadcast, hot_key_join
 
 
+WORD_SALTS = 16
+
+
 def content_words(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
     """Lower-cased words that start with a letter a-z, have three or more characters and are no stopword."""
     found = T.find_all(F.lower(T.text_of(c)), T.WORD_PATTERN)
@@ -86,9 +89,9 @@ def eligible_articles(articles: DataFrame, asof: Column | str) -> DataFrame:
     return articles.filter(ok)
 
 
-def _feed_limit() -> Column:
-    limit = F.lit(0)
-    for feed, k in fixed.FEED_LIMITS.items():
+def _feed_limit(limits: dict[str, int], default: int) -> Column:
+    limit = F.lit(default)
+    for feed, k in limits.items():
         limit = F.when(F.col("source_api") == feed, F.lit(k)).otherwise(limit)
     return limit
 
@@ -99,16 +102,21 @@ def select_candidates(
     asof: Column | str,
     id_col: str = "claim_id",
     query_col: str = "search_query",
+    limits: dict[str, int] = fixed.FEED_LIMITS,
+    default_limit: int = fixed.OTHER_FEED_LIMIT,
 ) -> DataFrame:
     """Newest matching articles per claim and feed: (claim, article, source_api, published_at, feed_rank).
 
+    ``limits`` says how many each feed offers, ``default_limit`` how many any other feed does (a null
+    feed name is one such feed).
+
     An article matches when it has a word of the query.  The newest k articles that
     have any of the words are among the newest k of each single word, so the
     article lists are cut to k per (word, feed) before they meet the claims.  A
     word in a third of all articles therefore costs k rows per claim, not
     a third of the articles, and the result is exact.
     """
-    most = max(fixed.FEED_LIMITS.values())
+    most, limit = max(default_limit, *limits.values()), _feed_limit(limits, default_limit)
     wanted = queries.select(
         id_col, F.explode(F.array_distinct(T.find_all(F.lower(F.col(query_col)), T.WORD_PATTERN))).alias("word")
     )
@@ -123,13 +131,16 @@ def select_candidates(
     )
     if fits_broadcast(vocabulary):
         postings = postings.join(F.broadcast(vocabulary), "word", "left_semi")
-    newest = Window.partitionBy("word", "source_api").orderBy(F.desc("published_at"), "article_id")
-    postings = postings.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= most)
-    postings = postings.filter(F.col("_rank") <= _feed_limit()).drop("_rank")
+    # the newest of each salt first, so that a word in most articles is cut by many tasks
+    postings = postings.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.lit(WORD_SALTS)))
+    for keys in (["word", "source_api", "_salt"], ["word", "source_api"]):
+        newest = Window.partitionBy(*keys).orderBy(F.desc("published_at"), "article_id")
+        postings = postings.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= most)
+    postings = postings.filter(F.col("_rank") <= limit).drop("_rank", "_salt")
     pairs = hot_key_join(wanted, postings, "word").drop("word").distinct()
     order = Window.partitionBy(id_col, "source_api").orderBy(F.desc("published_at"), "article_id")
     ranked = pairs.withColumn("feed_rank", F.row_number().over(order)).filter(F.col("feed_rank") <= most)
-    return ranked.filter(F.col("feed_rank") <= _feed_limit())
+    return ranked.filter(F.col("feed_rank") <= limit)
 
 
 def feed_position() -> Column:
@@ -140,10 +151,14 @@ def feed_position() -> Column:
 
 
 def drop_known_urls(new: DataFrame, existing: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """New articles whose non-empty URL is not among the existing ones."""
+    """New articles whose non-empty URL is not among the existing ones.
+
+    Articles without a URL have nothing to be known by: they pass beside the join.
+    """
     on = [*(keys or []), "url"]
-    seen = existing.filter(F.col("url") != "").select(*on).distinct()
-    return new.join(seen, on, "left_anti")
+    has_url = F.coalesce("url", F.lit("")) != ""
+    seen = existing.filter(has_url).select(*on).distinct()
+    return new.filter(has_url).join(seen, on, "left_anti").select(*new.columns).unionByName(new.filter(~has_url))
 
 
 def dedup_articles(evidence: DataFrame, id_col: str = "claim_id") -> DataFrame:
@@ -190,25 +205,40 @@ def similar_titles(evidence: DataFrame, id_col: str = "claim_id", threshold: flo
     ).filter(F.col("similarity") > threshold)
 
 
+def wanted_articles(articles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The articles whose id occurs in ``wanted``.
+
+    Their distinct ids are counted: up to the bound of a broadcast they are sent to the scan, so no other
+    article's text is moved; more of them go through a shuffle.
+    """
+    ids = cut_lineage(wanted.select("article_id").distinct())
+    return articles.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "article_id", "left_semi")
+
+
 def gather_evidence(
     queries: DataFrame,
     articles: DataFrame,
     asof: Column | str,
     id_col: str = "claim_id",
     query_col: str = "search_query",
+    cap_col: str | None = None,
 ) -> DataFrame:
     """Evidence per claim in feed order: (claim, ord, article_id, title, text, source, url, source_api).
 
     A claim without any hit gets one placeholder article with a null article_id.
     The candidates come out of a scan of all articles and are used several times, so they are
     written out once; they are four short columns and at most 40 rows per claim.  The same
-    holds for the queries and the kept articles.
+    holds for the queries and the kept articles.  ``cap_col`` of the queries caps the articles of each
+    claim before any text is fetched, and only articles somebody kept are moved to meet the claims.
     """
-    queries = cut_lineage(queries.select(id_col, query_col))
+    queries = cut_lineage(queries.select(id_col, query_col, *([cap_col] if cap_col else [])))
     candidates = cut_lineage(select_candidates(queries, articles, asof, id_col, query_col))
-    heads = articles.select("article_id", "title", "url")
-    kept = cut_lineage(dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col))
-    bodies = articles.select("article_id", "title", "text", "source", "url", "source_api")
+    heads = wanted_articles(articles.select("article_id", "title", "url"), candidates)
+    kept = dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col)
+    if cap_col:
+        kept = cap_evidence(kept.join(queries.select(id_col, cap_col), id_col), F.col(cap_col), id_col).drop(cap_col)
+    kept = cut_lineage(kept)
+    bodies = wanted_articles(articles.select("article_id", "title", "text", "source", "url", "source_api"), kept)
     found = hot_key_join(kept, bodies, "article_id")
     columns = [id_col, "ord", "article_id", "title", "text", "source", "url", "source_api"]
     missing = queries.join(kept.select(id_col).distinct(), id_col, "left_anti")
@@ -229,10 +259,8 @@ def gather_evidence(
     return found.select(*columns).unionByName(placeholder)
 
 
-def cap_evidence(evidence: DataFrame, k: Column | int, id_col: str = "claim_id", most: int = 15) -> DataFrame:
-    """The first k articles per claim."""
+def cap_evidence(evidence: DataFrame, k: Column | int, id_col: str = "claim_id") -> DataFrame:
+    """The first k articles per claim; ``k`` is a number or a column with each row's own."""
     order = Window.partitionBy(id_col).orderBy("ord")
     ranked = evidence.withColumn("_rank", F.row_number().over(order))
-    if isinstance(k, int):
-        return ranked.filter(F.col("_rank") <= k).drop("_rank")
-    return ranked.filter(F.col("_rank") <= most).filter(F.col("_rank") <= k).drop("_rank")
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
 from claimweave.operators import metrics as M
-from claimweave.operators.evidence import rank_evidence
+from claimweave.operators.evidence import rank_evidence, relevant_only
 from claimweave.operators.features import fill_nan, linguistic_features
 from claimweave.operators.sampling import augment_minority, oversample_minority, standardize_labels, stratified_split
 from claimweave.operators.tfidf import document_frequency, grams, idf, tfidf_transform
@@ -62,9 +62,12 @@ def minority_label(df: DataFrame, label_col: str = "binary_label") -> int:
     return 0 if row["n0"] < row["n1"] else 1
 
 
-def vectorizer(vocabulary: DataFrame, most: int = 5000) -> PipelineModel:
-    """TF-IDF of a gram column as sparse vectors, in the JVM.  The vocabulary is capped by its feature limit."""
-    terms = vocabulary.select("term", idf().alias("idf")).orderBy("term").limit(most).collect()
+def vectorizer(vocabulary: DataFrame) -> PipelineModel:
+    """TF-IDF of a gram column as sparse vectors, in the JVM.
+
+    All of the vocabulary takes part; its size is bounded by ``max_features`` of ``document_frequency``.
+    """
+    terms = vocabulary.select("term", idf().alias("idf")).orderBy("term").collect()
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="grams", outputCol="counts")
     weights = ElementwiseProduct(
         scalingVec=Vectors.dense([r["idf"] for r in terms]), inputCol="counts", outputCol="weighted"
@@ -135,8 +138,8 @@ def predictions(assembled: DataFrame, model, name: str, label_col: str = "binary
 
 
 def claim_texts(claims: DataFrame, scored: DataFrame, evidence: DataFrame, id_col: str = "claim_id") -> DataFrame:
-    """Model input per claim: the claim and up to 5000 characters of its three best articles."""
-    top = rank_evidence(scored, 3, id_col).select(id_col, "ord", "rank")
+    """Model input per claim: the claim and up to 5000 characters of its three best relevant articles."""
+    top = rank_evidence(relevant_only(scored), 3, id_col).select(id_col, "ord", "rank")
     texts = top.join(evidence.select(id_col, "ord", "title", "text"), [id_col, "ord"])
     piece = F.concat(T.text_of("title"), F.lit(". "), T.text_of("text"), F.lit(" "))
     joined = texts.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", piece.alias("x")))).alias("_p"))

@@ -59,6 +59,12 @@ def with_mode(df: DataFrame, mode: str = "balanced") -> DataFrame:
     return df.join(F.broadcast(mode_params(df.sparkSession)), "mode", "left")
 
 
+def route_modes(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims whose mode has settings, and the others with a reason."""
+    known = F.col("article_cap").isNotNull()
+    return claims.filter(known), claims.filter(~known).withColumn("reject_reason", F.lit("unknown mode"))
+
+
 def reject_reason(claim: Column) -> Column:
     return F.when(claim == "", "empty").when(F.length(claim) > fixed.MAX_CLAIM_CHARS, "too long")
 
@@ -80,10 +86,7 @@ def route_articles(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def retrieve(claims: DataFrame, tables: Tables) -> DataFrame:
     """Evidence of each claim, capped by its mode."""
     queries = R.search_queries(claims).select("claim_id", "search_query", "article_cap")
-    found = R.gather_evidence(queries.drop("article_cap"), tables.articles, tables.asof)
-    caps = claims.select("claim_id", "article_cap")
-    capped = R.cap_evidence(found.join(caps, "claim_id"), F.col("article_cap"))
-    return capped.drop("article_cap")
+    return R.gather_evidence(queries, tables.articles, tables.asof, cap_col="article_cap")
 
 
 def knowledge(claims: DataFrame, tables: Tables) -> DataFrame | None:
@@ -121,7 +124,9 @@ def verify_claims(
     their reason and no verdict; no row stops the job.
     """
     good, rejected = route_claims(claims)
-    good = with_mode(good, mode)
+    good, unknown = route_modes(with_mode(good, mode))
+    columns = ["claim_id", "claim", "source", "reject_reason"]
+    rejected = rejected.select(*columns).unionByName(unknown.select(*columns))
     found = STEPS.get("retrieve", retrieve)(good, tables)
     facts = STEPS["check"](good, tables) if "check" in STEPS else check(good, tables, found)
     biased = STEPS.get("bias", bias)(good, tables)
@@ -141,7 +146,7 @@ def verify_claims(
         }
     )
     return out.unionByName(
-        rejected.select("claim_id", "claim", "source", "reject_reason"), allowMissingColumns=True
+        rejected, allowMissingColumns=True
     )
 
 

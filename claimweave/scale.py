@@ -107,6 +107,12 @@ def hot_key_join(
     return left.join(right, [on, "_salt"]).drop("_salt")
 
 
+def lookup_keys(keys: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Distinct keys for a semi-join, marked for broadcast where a count proves them few; their plan runs once."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if fits_broadcast(keys, max_rows) else keys
+
+
 def contains_join(
     texts: DataFrame,
     terms: DataFrame,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
@@ -40,8 +40,13 @@ def read_liar(spark: SparkSession, path: str) -> DataFrame:
     return liar_corpus(spark.read.csv(files, sep="\t", schema=LIAR_SCHEMA, quote='"', escape='"'))
 
 
-def isot_corpus(raw: DataFrame) -> DataFrame:
-    """Common columns of labelled articles; the id is a digest of title and text."""
+def isot_corpus(raw: DataFrame, key: Column | None = None) -> DataFrame:
+    """Common columns of labelled articles.
+
+    The id is a digest of title and text followed by ``key``, which tells copies apart; without a key
+    it is the row's position in its partition of the input.
+    """
+    key = F.monotonically_increasing_id() if key is None else key
     renames = {}
     for target, other in (("text", "content"), ("title", "headline")):
         if target not in raw.columns and other in raw.columns:
@@ -55,7 +60,7 @@ def isot_corpus(raw: DataFrame) -> DataFrame:
         df = df.withColumn("source", F.col("subject"))
     return df.withColumns(
         {
-            "id": F.md5(F.concat(T.text_of("title"), F.lit("‖"), T.text_of("text"))),
+            "id": F.concat(F.md5(F.concat(T.text_of("title"), F.lit("‖"), T.text_of("text"))), F.lit("-"), key.cast("string")),
             "dataset_source": F.lit("isot"),
             "context_info": F.lit(""),
             "source_credibility": F.lit(0.5),
@@ -65,6 +70,8 @@ def isot_corpus(raw: DataFrame) -> DataFrame:
 
 
 def read_isot(spark: SparkSession, path: str) -> DataFrame:
+    """The two files (or folders of files) of articles.  A quoted text may hold line ends, so one file is one task."""
+
     def one(name: str, label: str) -> DataFrame:
         raw = spark.read.csv(f"{path}/{name}.csv", header=True, multiLine=True, quote='"', escape='"')
         return raw.withColumn("label", F.lit(label))

@@ -111,8 +111,9 @@ def read_lexicon_json(spark: SparkSession, path: str, base: DataFrame | None = N
     """Lexicon and publisher tables of one JSON file.
 
     ``political_terms`` is an object of left and right lists, or a plain list whose terms are put
-    on the side of ``base`` they match more often.
+    on the side of ``base`` (by default the built-in lists) they match more often.
     """
+    base = default_lexicon(spark) if base is None else base
     raw = spark.read.json(path, schema=JSON_SCHEMA, multiLine=True)
     flat = F.array(
         *[F.struct(F.lit(name).alias("category"), F.col(key).alias("terms")) for key, name in JSON_CATEGORIES.items()]
@@ -123,9 +124,7 @@ def read_lexicon_json(spark: SparkSession, path: str, base: DataFrame | None = N
     political = sides.select(F.inline(both)).select("category", F.explode("terms").alias("term"))
     legacy = raw.filter(F.ltrim("political_terms").startswith("["))
     legacy = legacy.select(F.explode(F.from_json("political_terms", "array<string>")).alias("term"))
-    lexicon = plain.unionByName(political)
-    if base is not None:
-        lexicon = lexicon.unionByName(categorize_terms(legacy, base))
+    lexicon = plain.unionByName(political).unionByName(categorize_terms(legacy, base))
     return lexicon.distinct(), _publishers(raw)
 
 

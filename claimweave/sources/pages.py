@@ -60,8 +60,11 @@ def fill_articles(articles: DataFrame, extracted: DataFrame, url_col: str = "url
         F.min_by(F.struct("text", "full_text"), "page_id").alias("_page")
     )
     short = (F.coalesce(url_col, F.lit("")) != "") & (F.length(T.text_of("text")) <= 1000)
-    out = articles.join(found, url_col, "left")
-    use = short & F.col("_page").isNotNull()
-    return out.withColumns(
+    # what can't be filled goes around the join, so articles without a URL never meet under one key
+    rest = articles.filter(~short).withColumn("full_text", F.lit(None).cast("string"))
+    out = articles.filter(short).join(found, url_col, "left").select(*articles.columns, "_page")
+    use = F.col("_page").isNotNull()
+    filled = out.withColumns(
         {"full_text": F.when(use, F.col("_page.full_text")), "text": F.when(use, F.col("_page.text")).otherwise(F.col("text"))}
     ).drop("_page")
+    return filled.unionByName(rest)

@@ -81,8 +81,10 @@ def read_feature_store(spark: SparkSession, path: str, split: str | None = None)
     for name in ("features", "tfidf", "metadata", "vectors"):
         try:
             part = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException:  # the part was not written
-            continue
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # the part was not written
         out[name] = part.filter(F.col("split") == split) if split else part
     return out
 
