@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import held_out, query, stored, table
@@ -92,10 +92,13 @@ def train(
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
     top = words.filter("n > 1").orderBy(F.desc("n"), "item", "lang").limit(max_words).select("item", "lang", "n").collect()
     marked = words.select("lang", "n", F.concat(F.lit("<"), "item", F.lit(">")).alias("w"))
-    starts = lambda size: F.sequence(F.lit(1), F.length("w") - size + 1)
-    every = F.concat(
-        *[F.when(F.length("w") >= s, F.transform(starts(s), lambda i, s=s: F.substring("w", i, F.lit(s)))).otherwise(F.array().cast("array<string>")) for s in range(1, LONGEST + 1)]
-    )
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("w") - size + 1)
+        cut = F.transform(starts, lambda i: F.substring("w", i, F.lit(size)))
+        return F.when(F.length("w") >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[pieces(size) for size in range(1, LONGEST + 1)])
     grams = marked.select("lang", "n", F.explode(every).alias("item")).groupBy("item", "lang").agg(F.sum("n").alias("n"))
     best = grams.orderBy(F.desc("n"), "item", "lang").limit(max_grams).select("item", "lang", "n").collect()
     return Model(languages, *_frequencies(top, languages, smoothing), *_frequencies(best, languages, smoothing))

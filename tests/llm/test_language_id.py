@@ -66,3 +66,10 @@ def test_given_documents(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = [r for r in L.op3_language_id(spark, sf).collect() if r.held_out]
     assert sum(truth[r.doc_id] == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_every_short_piece_of_a_word_is_counted(spark):
+    df = spark.createDataFrame([("abcab", "x", 1)], "text string, lang string, order long")
+    model = L.train(df)
+    marked = "<abcab>"
+    assert set(model.grams) == {marked[i : i + n] for n in range(1, 5) for i in range(len(marked) - n + 1)}
