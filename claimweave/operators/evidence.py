@@ -211,11 +211,13 @@ def check_facts(
     id_col: str = "claim_id",
     text_col: str = "claim",
     credible: list[str] = fixed.CREDIBLE_SOURCES,
+    probabilities: DataFrame | None = None,
 ) -> DataFrame:
     """Fact-check result, one row per claim.
 
     ``scored`` is the output of ``score_evidence``; ``kg`` holds (claim, kg_score, kg_fact) of
-    the claims a knowledge fact confirms.
+    the claims a knowledge fact confirms.  ``probabilities`` (claim, probability), as
+    ``score_claims`` gives them, take the place of the heuristic score where there is one.
     """
     relevant = relevant_only(scored)
     out = claims.join(evidence_profile(relevant, id_col, credible), id_col, "left")
@@ -236,7 +238,11 @@ def check_facts(
         out = out.withColumn("kg_score", F.coalesce("kg_score", F.lit(0.0)))
     empty = F.coalesce(F.col(text_col), F.lit("")) == ""
     model = heuristic_score()
-    out = out.withColumn("model_score", model).withColumn(
+    if probabilities is not None:
+        given = probabilities.select(id_col, F.col("probability").alias("_given"))
+        out = out.join(given, id_col, "left")
+        model = F.coalesce("_given", model)
+    out = out.withColumn("model_score", model).drop("_given").withColumn(
         "verification_score",
         F.when(empty, 0.0).otherwise(combine_kg(F.col("model_score"), F.col("kg_score"))),
     )

@@ -23,9 +23,10 @@ def content_words(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Co
 def term_frequency(docs: DataFrame, sizes: dict[int, int], id_col: str, text_col: str) -> DataFrame:
     """The most common n-grams of content words per document.
 
-    ``sizes`` maps n to how many are kept; ties go to the gram seen first.
+    ``sizes`` maps n to how many are kept; ties go to the gram seen first.  The words of a document move
+    once, to the partition of its id, and are cut into grams, counted and ranked there: no gram is shuffled.
     """
-    prepared = docs.select(id_col, content_words(text_col).alias("_words"))
+    prepared = docs.select(id_col, content_words(text_col).alias("_words")).repartition(id_col)
     grams = F.array(
         *[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("_words"), n).alias("grams")) for n in sorted(sizes)]
     )

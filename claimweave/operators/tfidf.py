@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
+from claimweave.scale import cut_lineage, fits_broadcast
 
 
 def accent_table() -> tuple[str, str]:
@@ -66,19 +67,17 @@ def idf() -> Column:
 def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Long rows (id, term, tfidf), L2-normalised per document.
 
-    The vocabulary is capped by its feature limit, so it is broadcast and drops
-    unknown grams before anything is shuffled.
+    Grams outside the vocabulary are dropped before anything moves; the rest moves once, by id, and
+    is counted and normalised there.  The vocabulary is written once, and broadcast if a count proves it small.
     """
-    vocab = vocabulary.select("term", idf().alias("_idf"))
+    vocab = cut_lineage(vocabulary.select("term", idf().alias("_idf")))
+    vocab = F.broadcast(vocab) if fits_broadcast(vocab) else vocab
     prepared = docs.select(id_col, grams(text_col).alias("_words"))
     rows = prepared.select(id_col, F.explode(F.concat("_words", T.ngrams(F.col("_words"), 2))).alias("term"))
-    counts = (
-        rows.join(F.broadcast(vocab), "term")
-        .groupBy(id_col, "term")
-        .agg((F.count(F.lit(1)) * F.first("_idf")).alias("_w"))
-    )
+    known = rows.join(vocab, "term").repartition(id_col)
+    weights = known.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
+    return weights.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
 def tfidf(

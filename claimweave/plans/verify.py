@@ -31,6 +31,7 @@ class Tables:
     attributes: DataFrame | None = None
     triples: DataFrame | None = None
     responses: DataFrame | None = None
+    probabilities: DataFrame | None = None
     credible: list[str] = field(default_factory=lambda: list(fixed.CREDIBLE_SOURCES))
 
 
@@ -103,7 +104,7 @@ def knowledge(claims: DataFrame, tables: Tables) -> DataFrame | None:
 def check(claims: DataFrame, tables: Tables, evidence: DataFrame) -> DataFrame:
     # the texts are read for the scores once; what is written out is slim
     scored = cut_lineage(E.score_evidence(claims.select("claim_id", "claim"), evidence))
-    return E.check_facts(claims, scored, knowledge(claims, tables), credible=tables.credible)
+    return E.check_facts(claims, scored, knowledge(claims, tables), credible=tables.credible, probabilities=tables.probabilities)
 
 
 def bias(claims: DataFrame, tables: Tables) -> DataFrame:
