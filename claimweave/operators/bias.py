@@ -209,17 +209,17 @@ def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, terms: list[tuple]
         )
     multi = phrases_of(lexicon, PHRASE_CATEGORIES)
     bait = lexicon.filter(F.col("category") == "clickbait").select("category", "term").distinct()
-    found = contains_join(base.select(id_col, "_title", "_full"), multi.unionByName(bait), "_full", "term")
+    found = contains_join(base.select("_row", "_title", "_full"), multi.unionByName(bait), "_full", "term", key="_row")
     is_bait, in_title = F.col("category") == "clickbait", F.col("_title").contains(F.col("term"))
     occurrences = whole_word_occurrences(full, F.col("term")).cast("long")
-    counts = found.groupBy(id_col).agg(
+    counts = found.groupBy("_row").agg(
         *[F.count_if(F.col("category") == c).alias(f"_{c}_phrases") for c in ("left", "right", "conspiracy")],
         F.sum(F.when(F.col("category") == "loaded", occurrences).otherwise(0)).alias("_loaded_phrases"),
         F.count_if(is_bait & in_title).alias("_bait_title"),
         F.count_if(is_bait & ~in_title).alias("_bait_body"),
     )
-    names = [c for c in counts.columns if c != id_col]
-    joined = base.join(counts, id_col, "left")
+    names = [c for c in counts.columns if c != "_row"]
+    joined = base.join(counts, "_row", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
 
 
@@ -265,7 +265,7 @@ def _count_by_join(
         ),
         F.transform(T.words("_full"), lambda w: F.struct(w.alias("tok"), none.alias("prev"), F.lit("w").alias("kind"))),
     )
-    tokens = base.select(id_col, source_col, *scalars, F.inline(rows))
+    tokens = base.select("_row", id_col, source_col, *scalars, F.inline(rows))
     loaded_terms = F.when(F.col("category") == "loaded", F.lower("term")).otherwise(F.col("term"))
     flags = wide_lexicon(lexicon.withColumn("term", loaded_terms), [*TOKEN_CATEGORIES, "loaded"], "tok")
     pairs = wide_lexicon(lexicon.filter(F.col("term").contains(" ")), ["left", "right"], "_bigram")
@@ -286,7 +286,7 @@ def _count_by_join(
         return F.count_if(cond)
 
     # the source is a key, not a first(): a string in the buffer would turn this into a sort aggregate
-    counted = hit.groupBy(id_col, source_col).agg(
+    counted = hit.groupBy("_row", id_col, source_col).agg(
         *[F.first(c).alias(c) for c in scalars],
         *[n(is_token & F.col(c)).alias(f"_{c}") for c in TOKEN_CATEGORIES],
         n(has_prev & F.col("_left_pair")).alias("_left_pairs"),
@@ -319,7 +319,9 @@ def score_bias(
     lexicon, terms = settle(lexicon.select("category", "term"))
     small = _known(terms)
     title, text = T.normalize_ws(title_col), T.normalize_ws(text_col)
+    # rows that share an id are told apart by their position in the input
     base = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
         id_col,
         F.coalesce(F.col(source_col), F.lit("")).alias(source_col),
         title.alias("_title"),

@@ -104,7 +104,8 @@ def _count_by_join(
 
     The tokens of title and text are exploded once and looked up; only hits (plus one
     marker row per document) reach the aggregate, whose shuffle carries about one row
-    per document.
+    per document.  Rows are told apart by their position in the input, so rows that share an id
+    stay as many as they were.
     """
     marker = F.array(F.struct(F.lit("").alias("tok"), F.lit(None).cast("boolean").alias("in_title")))
     rows = F.concat(
@@ -112,14 +113,15 @@ def _count_by_join(
         F.transform("_tokens", lambda t: F.struct(t.alias("tok"), F.lit(False).alias("in_title"))),
         F.transform("_title_tokens", lambda t: F.struct(t.alias("tok"), F.lit(True).alias("in_title"))),
     )
-    exploded = stats.select(id_col, *keep, *carried, F.inline(rows))
+    numbered = stats.withColumn("_row", F.monotonically_increasing_id())
+    exploded = numbered.select("_row", id_col, *keep, *carried, F.inline(rows))
     looked_up = lookup_join(exploded, wide_lexicon(lexicon, CATEGORIES, "tok"), ["tok"], "left", small=small)
     known = F.col("in_title").isNull() | F.col("positive").isNotNull()
 
     def hits(category: str, in_title: bool) -> Column:
         return F.count_if(F.col(category) & (F.col("in_title") == F.lit(in_title)))
 
-    return looked_up.filter(known).groupBy(id_col, *keep).agg(
+    return looked_up.filter(known).groupBy("_row", id_col, *keep).agg(
         *[F.first(c).alias(c) for c in carried],
         *[hits(c, False).alias(f"_{c}") for c in CATEGORIES],
         *[hits(c, True).alias(f"_title_{c}") for c in CATEGORIES],

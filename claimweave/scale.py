@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 200_000
 SETTLED_MAX_ROWS = 50_000
 SALTS = 32
+HOT_ROWS = 100_000
 
 
 def session_options() -> dict[str, str]:
@@ -50,61 +52,54 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
-    salts: int = SALTS,
     small: bool | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large fact side to a lookup table.
 
     A table that passes the size check is broadcast (``small`` states the outcome where the
-    caller has checked already).  A larger one is joined by
-    shuffle, with the fact rows of every key spread over ``salts`` partitions
-    and the lookup row repeated once per salt, so a key that holds a third of
-    the facts is worked on by ``salts`` tasks.  The result is the same.
+    caller has checked already).  A larger one is joined by shuffle through ``hot_key_join``: the keys
+    that hold many facts are spread over several partitions and repeated, all others are not.
     """
     if fits_broadcast(table, max_rows) if small is None else small:
         return facts.join(F.broadcast(table), on, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return hot_key_join(facts, table, on, hot_rows, how=how)
 
 
 def hot_key_join(
     facts: DataFrame,
     other: DataFrame,
-    on: str,
-    hot_rows: int = 100_000,
+    on: str | list[str],
+    hot_rows: int = HOT_ROWS,
     max_hot: int = BROADCAST_MAX_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join where only the keys that are hot on the fact side are split.
+    """Inner or left join where only the keys that are hot on the fact side are split.
 
     The keys with more than ``hot_rows`` fact rows are counted first (map-side
-    combined, key column only).  Their facts are spread over one salt per
+    combined, key columns only).  Their facts are spread over one salt per
     ``hot_rows`` rows and just those keys are repeated on the other side, so wide rows of
-    ordinary keys are shuffled once.
+    ordinary keys are shuffled once.  Facts of a left join whose key is null are spread like any hot key.
     """
+    on = [on] if isinstance(on, str) else list(on)
     hot = (
-        facts.groupBy(on)
+        facts.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .select(on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("long").alias("_parts"))
+        .select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.ceil(F.col("_n") / F.lit(hot_rows)).cast("long").alias("_parts"))
     )
+    hot = cut_lineage(hot)
     n_hot = hot.limit(max_hot + 1).count()
     if n_hot == 0:
-        return facts.join(other, on)
+        return facts.join(other, on, how)
     if n_hot <= max_hot:
         hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
-    left = (
-        facts.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), parts))
-        .drop("_parts")
-    )
-    right = (
-        other.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .drop("_parts")
-    )
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on])
+    left = facts.join(hot, same, "left").withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), parts))
+    right = other.join(hot, same, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    out = left.select(*facts.columns, "_salt").join(right.select(*other.columns, "_salt"), [*on, "_salt"], how)
+    return out.drop("_salt")
 
 
 def lookup_keys(keys: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -122,6 +117,7 @@ def contains_join(
     gram: int = 3,
     salts: int = SALTS,
     small: bool | None = None,
+    key: str | None = None,
 ) -> DataFrame:
     """Pairs of rows where the text contains the term as a substring.
 
@@ -130,12 +126,18 @@ def contains_join(
     each text under the distinct character grams it has, and only rows that meet
     under a gram are tested.  Terms shorter than a gram stay on the broadcast
     way, their number is bounded by the alphabet.
+
+    ``key`` names a column that tells the text rows apart.  With it only (key, gram) is exploded and
+    joined, grams no term starts with are dropped first where the starts are few, and each
+    text is fetched once for its candidates; without it the rows of ``texts`` travel with their grams.
     """
     hit = F.col(text_col).contains(F.col(term_col))
     if fits_broadcast(terms, max_terms) if small is None else small:
         return texts.join(F.broadcast(terms), hit)
     short = terms.filter(F.length(term_col) < gram)
     long = terms.filter(F.length(term_col) >= gram).withColumn("_gram", F.substring(term_col, 1, gram))
+    if key is not None:
+        return _contains_by_key(texts, short, long, text_col, gram, key, hit)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (gram - 1)))
     grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(gram))))
     indexed = texts.withColumn("_gram", F.explode(grams))
@@ -149,6 +151,19 @@ def contains_join(
     return found.unionByName(texts.join(F.broadcast(short), hit))
 
 
+def _contains_by_key(texts: DataFrame, short: DataFrame, long: DataFrame, text_col: str, gram: int, key: str, hit: Column) -> DataFrame:
+    """``contains_join`` for terms of at least ``gram`` characters (``long``, filed under ``_gram``) and shorter ones."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (gram - 1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(gram))))
+    first = lookup_keys(long.select("_gram").distinct())
+    filed = texts.select(key, F.explode_outer(grams).alias("_gram")).join(first, "_gram", "left_semi")
+    candidates = hot_key_join(filed, long, "_gram").drop("_gram").distinct()
+    terms = F.struct(*[c for c in long.columns if c != "_gram"])
+    by_text = candidates.groupBy(key).agg(F.collect_set(terms).alias("_terms"))
+    met = texts.join(by_text, key).withColumn("_term", F.explode("_terms")).select(*texts.columns, "_term.*").filter(hit)
+    return met.unionByName(texts.join(F.broadcast(short), hit))
+
+
 def running_totals(df: DataFrame, group: list[str], bucket: str, order: list, values: list[str]) -> DataFrame:
     """Running sums within a group without sorting a whole group in one task.
 

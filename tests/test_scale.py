@@ -17,7 +17,17 @@ def test_lookup_join_salted_equals_broadcast(spark):
     facts = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     table = spark.createDataFrame([("hot", 1), ("5", 2), ("7", 3)], "k string, v int")
     for how in ("inner", "left"):
-        assert rows(scale.lookup_join(facts, table, ["k"], how)) == rows(scale.lookup_join(facts, table, ["k"], how, max_rows=1, salts=4))
+        assert rows(scale.lookup_join(facts, table, ["k"], how)) == rows(scale.lookup_join(facts, table, ["k"], how, max_rows=1, hot_rows=5))
+
+
+def test_hot_keys_of_several_columns_nulls_and_repeated_rows(spark):
+    ids = [(i % 7, None if i % 4 == 0 else f"k{i % 3}") for i in range(3000)]
+    facts = spark.createDataFrame(ids + ids, "id int, k string")
+    table = spark.createDataFrame([(i, f"k{j}", i * j) for i in range(5) for j in range(2)] + [(1, None, 9)], "id int, k string, v int")
+    for how in ("inner", "left"):
+        want = rows(facts.join(table, ["id", "k"], how))
+        for hot in (10, 10_000):
+            assert rows(scale.hot_key_join(facts, table, ["id", "k"], hot_rows=hot, how=how)) == want
 
 
 def test_hot_key_join(spark):
@@ -34,8 +44,9 @@ def test_contains_join_index_equals_brute_force(spark):
     w = spark.createDataFrame([(x,) for x in terms], "term string")
     want = {(i, x) for i, text in texts for x in terms if x in text}
     for limit in (100, 1):
-        got = scale.contains_join(t, w, "text", "term", max_terms=limit, salts=3).select("id", "term").collect()
-        assert len(got) == len(want) and {tuple(r) for r in got} == want
+        for key in (None, "id"):
+            got = scale.contains_join(t, w, "text", "term", max_terms=limit, salts=3, key=key).select("id", "term").collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_global_rank_matches_window(spark):
@@ -71,10 +82,22 @@ def test_inline_and_join_counts_agree(spark, monkeypatch):
         return rows(scored), rows(features.linguistic_features(docs, lexicon(spark), "doc_id", "title", "text", None))
 
     inline = run()
+    assert sum(inline[1].values()) == len(DOCS)
     monkeypatch.setattr(L, "INLINE_TERMS", 0)
     assert run() == inline
     monkeypatch.setattr(bias, "INLINE_PHRASES", 0)
     assert run() == inline
+    monkeypatch.setattr(scale, "BROADCAST_MAX_ROWS", 0)
+    assert run() == inline
+
+
+def test_rows_that_share_an_id_stay_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([DOCS[0], DOCS[0], (1, *DOCS[1][1:]), DOCS[3]], "doc_id int, title string, text string, source string")
+    run = lambda: rows(features.linguistic_features(docs, lexicon(spark), "doc_id", "title", "text", None))
+    inline = run()
+    assert sum(inline.values()) == 4
+    monkeypatch.setattr(L, "INLINE_TERMS", 0)
+    assert run() == inline
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
