@@ -99,7 +99,8 @@ def contaminated(
     given = stored(given.withColumn("item", F.xxhash64("item_id", "item_text")).distinct())
     tests = stored(_with_grams(given, "item_text").select("item", "n", F.posexplode("_grams").alias("at", "gram")))
     wanted = small_side(stored(tests.select("gram").distinct()))
-    exploded = _with_grams(docs.filter("text IS NOT NULL"), "text").select("doc", F.posexplode("_grams").alias("pos", "gram"))
+    # the outer form: else a filter on the size of the array is put below, and the grams are made twice
+    exploded = _with_grams(docs, "text").select("doc", F.posexplode_outer("_grams").alias("pos", "gram"))
     hits = stored(exploded.join(wanted, "gram", "left_semi"))
     counted = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n_hits"))
     ranked = tests.join(counted, "gram", "left").selectExpr(
