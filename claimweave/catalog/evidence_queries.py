@@ -292,6 +292,18 @@ def cap_evidence(spark, sf_dir):
     return R.cap_evidence(found, 5).select("claim_id", "ord", "article_id")
 
 
+@query(
+    "cap_evidence_by_row",
+    with_ctes(*RETRIEVAL, EVIDENCE_CTE)
+    + """ SELECT claim_id, ord, article_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ord) AS rn FROM evidence)
+      WHERE rn <= claim_id % 40""",
+)
+def cap_evidence_by_row(spark, sf_dir):
+    """Caps of 0 to 39, a number of its own for each claim."""
+    found = R.gather_evidence(_queries(spark, sf_dir), articles(spark, sf_dir), ASOF)
+    return R.cap_evidence(found, F.pmod("claim_id", F.lit(40))).select("claim_id", "ord", "article_id")
+
+
 @query(
     "mode_params",
     """SELECT item_id AS claim_id, mode, mode <> 'fast' AS use_kg, CASE mode WHEN 'fast' THEN 3.0 WHEN 'balanced' THEN 6.0 ELSE 12.0 END::DOUBLE AS kg_timeout,
@@ -475,6 +487,32 @@ def check_facts(spark, sf_dir):
     return rounded(_checked(spark, sf_dir).select(*columns))
 
 
+GIVEN_CTE = """
+given AS (
+  SELECT claim_id, n_evidence, explanation, CASE WHEN claim_id % 3 = 0 THEN (claim_id % 10) / 10.0::DOUBLE ELSE verification_score::DOUBLE END AS model,
+    CASE WHEN claim_id % 4 = 1 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS kg FROM explained)
+"""
+
+
+@query(
+    "check_facts_given_scores",
+    with_ctes(*CHECKING, GIVEN_CTE)
+    + """ SELECT claim_id, n_evidence, round(model, 6) AS model_score, round(CASE WHEN kg > 0 THEN 0.7::DOUBLE * kg + 0.3::DOUBLE * model ELSE model END, 6) AS verification_score,
+      kg > 0 AS kg_verification,
+      CASE WHEN kg > 0 THEN 'Knowledge graph verification: 1 out of 1 facts were verified. Confirmed: fact ' || claim_id || '. ' ELSE '' END AS knowledge FROM given""",
+)
+def check_facts_given_scores(spark, sf_dir):
+    """A model's probability for every third claim and a confirmed fact for every fourth."""
+    asked = claims(spark, sf_dir)
+    turn = lambda n: F.pmod("claim_id", F.lit(n))
+    probabilities = asked.filter(turn(3) == 0).select("claim_id", (turn(10) / 10.0).alias("probability"))
+    facts = F.concat(F.lit("fact "), F.col("claim_id").cast("string"))
+    kg = asked.filter(turn(4) == 1).select("claim_id", F.lit(0.9).alias("kg_score"), facts.alias("kg_fact"))
+    out = E.check_facts(asked, cut_lineage(_scored(spark, sf_dir)), kg, credible=CREDIBLE, probabilities=probabilities)
+    said = F.regexp_extract("explanation", r"Knowledge graph verification: .*? Confirmed: .*?\. ", 0)
+    return rounded(out.select("claim_id", "n_evidence", "model_score", "verification_score", "kg_verification", said.alias("knowledge")))
+
+
 @query(
     "evidence_stats",
     with_ctes(*RETRIEVAL, EVIDENCE_CTE)

@@ -69,6 +69,30 @@ def lexicon_stats(spark, sf_dir):
     return lexicons.lexicon_stats(planted_lexicon(spark, sf_dir))
 
 
+BIAS_LISTS = {
+    "left": fixed.LEFT_TERMS, "right": fixed.RIGHT_TERMS, "positive": fixed.POSITIVE_WORDS, "negative": fixed.NEGATIVE_WORDS,
+    "subjective": fixed.SUBJECTIVE_WORDS, "exaggeration": fixed.EXAGGERATION_WORDS, "hedging": fixed.HEDGING_WORDS,
+    "loaded": fixed.LOADED_PHRASES, "clickbait": fixed.CLICKBAIT_PHRASES,
+}
+BIAS_VALUES = " UNION ALL ".join(f"SELECT '{c}' AS category, unnest({strings(list(dict.fromkeys(v)))}) AS term" for c, v in BIAS_LISTS.items())
+
+
+@query(
+    "bias_lexicon",
+    f"""WITH lists AS ({BIAS_VALUES}), {TOKENS_CTE.strip()}
+    SELECT category, term, count(DISTINCT doc_id) AS n_docs FROM lists LEFT JOIN doc_tokens ON tok = term GROUP BY ALL""",
+)
+def bias_lexicon(spark, sf_dir):
+    """Every term of the built-in bias lists, with the number of documents that have it as a token."""
+    from claimweave.functions import text as T
+
+    lists = lexicons.default_lexicon(spark).filter(F.col("category").isin(list(BIAS_LISTS)))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array_distinct(T.tokenize("text"))).alias("term"))
+    counts = tokens.groupBy("term").agg(F.count_distinct("doc_id").alias("n_docs"))
+    out = lists.join(counts, "term", "left")
+    return out.select("category", "term", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))
+
+
 MERGED = """, fresh AS (
   SELECT DISTINCT CASE WHEN substr(md5(tok), 3, 1) < '8' THEN 'positive' ELSE 'negative' END AS category, tok AS term
   FROM doc_tokens WHERE regexp_matches(tok, '^[a-z]+$'))"""

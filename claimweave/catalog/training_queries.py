@@ -196,6 +196,37 @@ def tfidf(spark, sf_dir):
     return rounded(V.tfidf(_split_docs(spark, sf_dir), "doc_id", "text"))
 
 
+CHAIN_CTE = f"""
+{ISOT_CTE.strip()},
+lab AS (SELECT id, text, (label = 'real')::INT AS binary_label FROM isot),
+chain AS (
+  SELECT id, CASE WHEN share <= 0.7::DOUBLE THEN 'train' WHEN share <= 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (
+    SELECT id, row_number() OVER (PARTITION BY binary_label ORDER BY md5('42|' || id), id) / (count(*) OVER (PARTITION BY binary_label))::DOUBLE AS share FROM lab)),
+tw AS (
+  SELECT id AS doc_id, split, list_filter(regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '{WORD}'), lambda w: length(w) >= 2) AS w
+  FROM lab JOIN chain USING (id)),
+{TFIDF_CTE[TFIDF_CTE.index("tg AS"):].strip()},
+vectors AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM weighted)
+"""
+
+
+@query(
+    "training_chain",
+    with_ctes(CHAIN_CTE)
+    + """ SELECT split, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(n_terms)::BIGINT AS n_terms, round(sum(squares), 4) AS squares
+      FROM chain LEFT JOIN (SELECT doc_id AS id, count(*) AS n_terms, sum(tfidf * tfidf) AS squares FROM vectors GROUP BY doc_id) USING (id) GROUP BY split""",
+)
+def training_chain(spark, sf_dir):
+    """Articles, labels, splits and TF-IDF of all documents, copies included."""
+    rows = S.stratified_split(S.standardize_labels(isot_rows(spark, sf_dir)), "id", "binary_label").select("id", "text", "split")
+    vectors = V.tfidf(rows, "id", "text")
+    sums = vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.col("tfidf") * F.col("tfidf")).alias("squares"))
+    out = rows.join(sums, "id", "left").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.sum("n_terms").alias("n_terms"), F.sum("squares").alias("squares")
+    )
+    return rounded(out, 4)
+
+
 # --- evaluation of given probabilities --------------------------------------------------------------
 PREDS_CTE = """
 preds AS (

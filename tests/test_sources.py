@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from claimweave.functions import fixed_values as fixed
 from claimweave.plans import training as TR
 from claimweave.plans import verify as P
 from claimweave.sources import corpora, lexicons, pages, store
@@ -152,3 +154,46 @@ def test_knowledge_step(spark):
     r = P.verify_claims(claims, tables).head()
     assert r["kg_verification"] and r["kg_score"] == pytest.approx(0.7) and "Confirmed: Ann Lee related to Bob Ray." in r["explanation"]
     assert not P.verify_claims(claims, tables, "fast").head()["kg_verification"]
+
+
+def test_copies_of_an_article_get_ids_of_their_own(spark):
+    raw = spark.createDataFrame([("t", "same text", "fake")] * 30 + [("u", "other", "real")] * 2, "title string, text string, label string")
+    ids = [r["id"] for r in corpora.isot_corpus(raw).select("id").collect()]
+    assert len(set(ids)) == 32 and len({i.split("-")[0] for i in ids}) == 2
+    df = corpora.isot_corpus(raw.unionByName(raw))
+    built = TR.build_training_set(df, lexicons.training_lexicon(spark), min_df=1, max_df=1.0)
+    assert built.tfidf.select("id").distinct().count() == built.rows.count() == 64
+    assert built.rows.groupBy("id").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+
+
+def test_the_whole_vocabulary_takes_part(spark):
+    rows = [(f"term{i:05d}", 5, 5, 100) for i in range(6000)]
+    vectors = TR.vectorizer(spark.createDataFrame(rows, "term string, df long, tf long, n_docs long"))
+    assert len(vectors.stages[0].vocabulary) == 6000
+
+
+def test_a_broken_part_of_the_store_is_no_missing_part(spark, tmp_path):
+    (tmp_path / "features").mkdir()
+    with pytest.raises(AnalysisException):
+        store.read_feature_store(spark, str(tmp_path))
+    assert store.read_feature_store(spark, str(tmp_path / "nowhere")) == {}
+
+
+def test_legacy_terms_use_the_built_in_lists(spark, tmp_path):
+    term = fixed.LEFT_TERMS[0]
+    (tmp_path / "l.json").write_text(json.dumps({"political_terms": [f"more {term}"]}))
+    lexicon, _ = lexicons.read_lexicon_json(spark, str(tmp_path / "l.json"))
+    assert [tuple(r) for r in lexicon.collect()] == [("left", f"more {term}")]
+
+
+def test_unknown_feeds_offer_articles_and_unknown_modes_are_rejected(spark):
+    tables = small_tables(spark)
+    tables.articles = tables.articles.withColumn("source_api", F.when(F.col("article_id") == 1, "archive").otherwise(F.col("source_api")))
+    claims = spark.createDataFrame(
+        [(1, "Solar panels power homes", "s", "fast"), (2, "Solar panels power homes", "s", "quickest"), (3, "", "s", "fast")],
+        "claim_id int, claim string, source string, mode string",
+    )
+    out = {r["claim_id"]: r for r in P.verify_claims(claims, tables).collect()}
+    assert out[1]["n_real_articles"] == 1 and out[1]["reject_reason"] is None
+    assert out[2]["reject_reason"] == "unknown mode" and out[2]["verdict"] is None
+    assert out[3]["reject_reason"] == "empty"
