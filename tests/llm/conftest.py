@@ -1,29 +1,6 @@
 import os
-import random
 import sys
 
-import pytest
-
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(os.path.dirname(HERE)), os.path.dirname(HERE)]
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-
-SF_DIR = "/root/testdata/sf0.001"
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-#: Names the operators use inside, as further columns of an input.
-CLASHING = ["words", "line", "_key", "fp", "key", "doc", "surrogate", "length", "salt", "_t"]
-
-
-def documents(spark, texts, first=0, langs=None):
-    rows = [(first + i, t, langs[i] if langs else "en", "src0", len(t or "")) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCUMENTS)
-
-
-def clashing(df):
-    from pyspark.sql import functions as F
-
-    return df.select("*", *[F.lit("x").alias(c) for c in CLASHING if c not in df.columns])
-
-
-def prose(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
-    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]

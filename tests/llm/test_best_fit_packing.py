@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import clashing, documents
+from llm_helpers import clashing, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

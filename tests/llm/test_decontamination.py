@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import clashing, documents, prose
+from llm_helpers import clashing, documents, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm import decontamination as D

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from conftest import clashing, documents
+from llm_helpers import clashing, documents
 from pyspark.sql import functions as F
 
 from claimweave.llm import language_id as L

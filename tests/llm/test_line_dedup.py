@@ -1,6 +1,6 @@
 import random
 
-from conftest import SF_DIR, clashing, documents, prose
+from llm_helpers import SF_DIR, clashing, documents, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm import line_dedup as L

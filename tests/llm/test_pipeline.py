@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from conftest import documents, prose
+from llm_helpers import documents, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm.decontamination import contaminated

@@ -4,7 +4,7 @@ import re
 import string
 import zlib
 
-from conftest import clashing, documents
+from llm_helpers import clashing, documents
 
 from claimweave.llm import secret_scan as S
 

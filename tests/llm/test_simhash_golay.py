@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from conftest import clashing, documents, prose
+from llm_helpers import clashing, documents, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm import simhash_golay as S
