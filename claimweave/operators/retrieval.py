@@ -124,11 +124,12 @@ def select_candidates(
     vocabulary = wanted.select("word").distinct()
     offered = eligible_articles(articles, asof)
     text = F.lower(F.concat_ws(" ", T.text_of("title"), T.text_of("text")))
+    # the outer form keeps Spark from cutting each text a second time for a filter on the array's size
     postings = offered.select(
         "article_id",
         "source_api",
         "published_at",
-        F.explode(F.array_distinct(T.find_all(text, T.WORD_PATTERN))).alias("word"),
+        F.explode_outer(F.array_distinct(T.find_all(text, T.WORD_PATTERN))).alias("word"),
     )
     if fits_broadcast(vocabulary):
         postings = postings.join(F.broadcast(vocabulary), "word", "left_semi")

@@ -54,7 +54,8 @@ def document_frequency(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), one.alias("tf"), zero.alias("df"))),
         F.transform(F.array_distinct("_grams"), lambda g: F.struct(g.alias("term"), zero.alias("tf"), one.alias("df"))),
     )
-    counts = prepared.select(F.inline(rows)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    exploded = prepared.select(F.inline_outer(rows)).filter(F.col("term").isNotNull())
+    counts = exploded.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
     return top.withColumn("n_docs", F.lit(n_docs).cast("long"))
@@ -73,7 +74,8 @@ def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, id_col: str = "id",
     vocab = cut_lineage(vocabulary.select("term", idf().alias("_idf")))
     vocab = F.broadcast(vocab) if fits_broadcast(vocab) else vocab
     prepared = docs.select(id_col, grams(text_col).alias("_words"))
-    rows = prepared.select(id_col, F.explode(F.concat("_words", T.ngrams(F.col("_words"), 2))).alias("term"))
+    # outer: an inner explode gets a filter on the array's size, for which the grams are made twice
+    rows = prepared.select(id_col, F.explode_outer(F.concat("_words", T.ngrams(F.col("_words"), 2))).alias("term"))
     known = rows.join(vocab, "term").repartition(id_col)
     weights = known.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
