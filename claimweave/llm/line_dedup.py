@@ -17,8 +17,9 @@ def words_of(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line_no, words) of every line of at least one word."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return rows.select("doc", "line_no", words_of(F.col("line")).alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line"))
+    # the words pass through a generator, so that a filter on them doesn't cut the line a second time
+    return rows.select("doc", "line_no", F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
 
 
 def _place(doc: str = "doc", line_no: str = "line_no") -> Column:
@@ -130,6 +131,8 @@ def near_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: st
     verdicts = verdicts.select(
         "line", "place", F.coalesce(F.col("other.place"), F.col("place")).alias("kept"), F.col("other").isNotNull().cast("int").alias("edits")
     )
+    # written, so that the join below stands alone and Spark can split a line that is everywhere
+    verdicts = stored(verdicts)
     own = _place()
     gone = seen.select("doc", "line_no", "line").join(verdicts, "line").filter((F.col("edits") == 1) | (own > F.col("place")))
     return gone.select(
