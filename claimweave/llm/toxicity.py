@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +16,9 @@ from claimweave.llm.common import held_out, query, stored, table
 
 WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 5
-CACHED = 200_000
+CACHED = 500_000
+TEXTS_AT_ONCE = 200
+PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -34,40 +35,65 @@ class Model:
             self.margins = self.embeddings @ (self.weights[:, 1] - self.weights[:, 0])
         return self.margins
 
-    def score(self, text: str | None, cache: dict[str, float]) -> float:
-        """Probability of class 1; the bias alone for a text without words."""
-        words = Counter(WORD.findall((text or "").lower()))
-        margins, buckets, total = self.margin(), len(self.embeddings), 0.0
-        for word, n in words.items():
-            if (value := cache.get(word)) is None:
-                if len(cache) >= CACHED:
-                    cache.clear()
-                value = cache[word] = float(margins[subwords(word, buckets)].mean())
-            total += n * value
-        logit = total / max(1, sum(words.values())) + float(self.bias[1] - self.bias[0])
-        return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-
-
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of the marked word and of its character n-grams."""
-    marked = f"<{word}>"
-    parts = {marked} | {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % buckets for p in sorted(parts)]
-
-
-def features(text: str | None, buckets: int, cache: dict[str, list[int]]) -> tuple[list[int], list[float]]:
+    def learn(self, words: list[str], cache: dict[str, float]) -> None:
+        """Puts the mean margin of each word's subwords into the cache."""
+        if words:
+            at, sizes = subwords(words, len(self.embeddings))
+            sums = np.add.reduceat(self.margin()[at].astype(float), np.cumsum(sizes) - sizes)
+            cache.update(zip(words, (sums / sizes).tolist(), strict=True))
+
+    def scores(self, texts: list[str | None], cache: dict[str, float]) -> list[float]:
+        """Probabilities of class 1; the bias alone for a text without words."""
+        bags = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        fresh = {w for bag in bags for w in bag if w not in cache}
+        if len(cache) + len(fresh) > CACHED:
+            cache.clear()
+            fresh = {w for bag in bags for w in bag}
+        self.learn(sorted(fresh), cache)
+        shift, out = float(self.bias[1] - self.bias[0]), []
+        for bag in bags:
+            total = sum(n * cache[w] for w, n in bag.items()) / max(1, sum(bag.values()))
+            out.append(float(1 / (1 + np.exp(-np.clip(total + shift, -500, 500)))))
+        return out
+
+
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every marked word and of its character n-grams, word after word, and how many each word has.
+
+    All words are hashed at once: a polynomial over the code points of each n-gram, then mixed.
+    """
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    power = np.cumprod(np.full(LONGEST, PRIME, np.uint64))
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    weights = np.cumprod(np.full(int(sizes.max()), PRIME, np.uint64))
+    hashed = [np.add.reduceat(codes * weights[place], np.cumsum(sizes) - sizes)]
+    rows = [np.arange(len(words))]
+    for n in range(SHORTEST, LONGEST + 1):
+        starts = np.flatnonzero(left >= n)
+        value = np.full(len(starts), n, np.uint64)
+        for i in range(n):
+            value += codes[starts + i] * power[i]
+        hashed.append(value)
+        rows.append(word[starts])
+    value, row = np.concatenate(hashed), np.concatenate(rows)
+    value = (value ^ (value >> np.uint64(29))) * MIX
+    at = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(row, kind="stable")
+    return at[order], np.bincount(row, minlength=len(words))
+
+
+def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A text as a bag: each word the mean of its subwords, the text the mean of its words."""
     words = Counter(WORD.findall((text or "").lower()))
-    bag: dict[int, float] = {}
-    every = max(1, sum(words.values()))
-    for word, n in words.items():
-        if (at := cache.get(word)) is None:
-            if len(cache) >= CACHED:
-                cache.clear()
-            at = cache[word] = subwords(word, buckets)
-        for b in at:
-            bag[b] = bag.get(b, 0.0) + n / every / len(at)
-    return list(bag), list(bag.values())
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0)
+    at, sizes = subwords(list(words), buckets)
+    share = np.array(list(words.values())) / sum(words.values())
+    found, where = np.unique(at, return_inverse=True)
+    return found, np.bincount(where, np.repeat(share / sizes, sizes))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, each: int, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,11 +109,10 @@ def sampled(docs: DataFrame, labels: DataFrame, each: int, buckets: int) -> list
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("label", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, list[int]] = {}
         for batch in batches:
-            bags = [features(t, buckets, cache) for t in batch["text"]]
-            at = [np.array(b[0], np.int32).tobytes() for b in bags]
-            yield pd.DataFrame({"label": batch["label"], "at": at, "weight": [np.array(b[1], np.float32).tobytes() for b in bags]})
+            bags = [features(t, buckets) for t in batch["text"]]
+            at = [b[0].astype(np.int32).tobytes() for b in bags]
+            yield pd.DataFrame({"label": batch["label"], "at": at, "weight": [b[1].astype(np.float32).tobytes() for b in bags]})
 
     bags = stored(rows.mapInPandas(run, "label int, at binary, weight binary"))
     return [(r.label, np.frombuffer(r.at, np.int32), np.frombuffer(r.weight, np.float32)) for r in bags.toLocalIterator()]
@@ -116,23 +141,30 @@ def fit(
     n, share = len(bags), np.bincount(labels, minlength=2)
     if n == 0 or share.min() == 0:
         return Model(embeddings, weights, np.log(share + 1.0))
-    docs = np.repeat(np.arange(n, dtype=np.int32), [len(b[1]) for b in bags])
-    at, values = np.concatenate([b[1] for b in bags]), np.concatenate([b[2] for b in bags])
     each = 1 / (2 * share[labels])
-    mean = np.bincount(at, values, buckets) / n
-    deviation = np.sqrt(np.maximum(np.bincount(at, values.astype(float) ** 2, buckets) / n - mean**2, 0))
-    common = (np.bincount(at, minlength=buckets) >= max(3, n // 125)) & (deviation > 0)
-    scale = np.where(common, 1 / np.where(common, deviation, 1), 0)
     start = (0.5 - labels) * each
-    pull = np.abs(np.bincount(at, values * start[docs], buckets) * scale - mean * scale * start.sum())
+    # sums by bucket, a text at a time: only entries of chosen buckets are ever put together
+    seen, total, squares, pulled = (np.zeros(buckets) for _ in range(4))
+    for (_, at, weight), r in zip(bags, start, strict=True):
+        seen[at] += 1
+        total[at] += weight
+        squares[at] += weight.astype(float) ** 2
+        pulled[at] += weight * r
+    mean = total / n
+    deviation = np.sqrt(np.maximum(squares / n - mean**2, 0))
+    common = (seen >= max(3, n // 125)) & (deviation > 0)
+    scale = np.where(common, 1 / np.where(common, deviation, 1), 0)
+    pull = np.abs(pulled * scale - mean * scale * start.sum())
     chosen = np.argsort(-pull, kind="stable")[:entering]
     chosen = chosen[pull[chosen] > 0]
     if len(chosen) == 0:
         return Model(embeddings, weights, bias)
     place = np.full(buckets, -1)
     place[chosen] = np.arange(len(chosen))
-    used = place[at] >= 0
-    docs, x, at = docs[used], values[used] * scale[at[used]], place[at[used]]
+    used = [place[b[1]] >= 0 for b in bags]
+    docs = np.repeat(np.arange(n), [u.sum() for u in used])
+    at = np.concatenate([place[b[1][u]] for b, u in zip(bags, used, strict=True)])
+    x = np.concatenate([b[2][u] * scale[b[1][u]] for b, u in zip(bags, used, strict=True)])
     middle, held = mean[chosen] * scale[chosen], penalty * pull.max()
 
     def forward(v: np.ndarray) -> np.ndarray:
@@ -185,7 +217,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, float] = {}
         for batch in batches:
-            found = np.array([shared.value.score(t, cache) for t in batch["_t"]], float)
+            texts = list(batch["_t"])
+            found = np.array([s for i in range(0, len(texts), TEXTS_AT_ONCE) for s in shared.value.scores(texts[i : i + TEXTS_AT_ONCE], cache)], float)
             yield pd.DataFrame({"_i": batch["_i"], "held_out": batch["_h"], "score": found, "predicted": (found >= 0.5).astype(np.int32)})
 
     out = slim.mapInPandas(run, f"_i {kind}, held_out boolean, score double, predicted int")

@@ -29,7 +29,7 @@ def test_held_out_labels_and_misspellings(spark):
     assert sum(r.predicted == t for r, t in out) >= 0.95 * len(out)
     assert all((r.score >= 0.5) == (r.predicted == 1) for r in got.values())
     clean = docs.first().text if truth[0][2] == 0 else docs.collect()[1].text
-    plain, spelt = model.score(clean, {}), model.score(clean + " zorkx zorky bliffen quampo", {})
+    plain, spelt = model.scores([clean, clean + " zorkx zorky bliffen quampo"], {})
     assert plain < 0.5 < spelt
 
 
@@ -42,6 +42,26 @@ def test_embeddings_give_the_margins():
     assert all((bag(b) > 0) == (b[0] == 1) for b in bags) and rng is not None
 
 
+def test_subwords_are_the_word_and_its_pieces():
+    words = ["a", "abc", "épée", "abcabc", "x" * 300]
+    at, sizes = X.subwords(words, 1 << 40)
+    assert sizes.tolist() == [1 + sum(max(0, len(w) + 3 - n) for n in (3, 4, 5)) for w in words]
+    ends = np.cumsum(sizes)
+    parts = [at[e - s : e] for e, s in zip(ends, sizes, strict=True)]
+    alone = [X.subwords([w], 1 << 40)[0] for w in words]
+    assert all((a == b).all() for a, b in zip(parts, alone, strict=True))
+    # <ab, abc, bc> and their like: "abc" and "abcabc" share the first piece and "abc"
+    assert len(set(parts[1]) & set(parts[3])) >= 3 and len(set(parts[4])) < 20
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    model = X.Model(np.zeros((1 << 10, 1), np.float32), np.ones((1, 2)), np.zeros(2), np.random.default_rng(1).normal(size=1 << 10))
+    texts = ["one two three", None, "two four " * 9, "five"]
+    want = model.scores(texts, {})
+    monkeypatch.setattr(X, "CACHED", 2)
+    assert [s for t in texts for s in model.scores([t], {})] == want
+
+
 def test_labels_are_no_inputs_of_a_score_and_the_held_out_are_not_learned(spark):
     docs, labels, _ = corpus(spark)
     flipped = labels.withColumn("toxic", F.when(X.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
