@@ -86,7 +86,10 @@ def train(
     n-grams are counted by Spark; the most frequent ``max_words`` (item, language) pairs of
     either kind, seen twice at least for words, make the model.  These three bounds limit what goes to the driver.
     """
-    sample = labelled.dropna(subset=["text", "lang", "order"]).orderBy("order").limit(sample_docs)
+    rows = labelled.dropna(subset=["text", "lang", "order"])
+    # the orders alone are ranked, so no text moves for it; of rows that tie at the cut, all are read
+    last = rows.select("order").orderBy("order").limit(sample_docs).agg(F.max("order")).first()[0]
+    sample = rows.filter(F.col("order") <= F.lit(last))
     words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("item"))
     words = stored(words.groupBy("item", "lang").agg(F.count(F.lit(1)).alias("n")))
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
