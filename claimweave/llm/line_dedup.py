@@ -85,11 +85,15 @@ def _variants(words: DataFrame) -> DataFrame:
     return keyed.select("line", "place", F.explode(every).alias("way")).select("line", "place", "way.key", "way.role")
 
 
-def near_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", equal_from: int | None = None
+) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that repeats an earlier one.
 
-    Lines of at least ``min_words`` words are compared as lower-case words: a line goes if a line
-    earlier in (doc_id, line_no) order is equal to it (edits 0) or one word edit from it (edits 1).
+    Lines are compared as lower-case words: a line goes if a line earlier in (doc_id, line_no) order is
+    equal to it (edits 0) or one word edit from it (edits 1).  Edits are looked for between lines of at
+    least ``min_words`` words, equal lines among those of at least ``equal_from`` (1: every line with a
+    word; not given: ``min_words``, as the SQL has it).
     ``kept`` is the earliest equal line, or the earliest line one edit away if that is
     earlier than all equal ones; with chains of edits that one may itself be gone.  Lines are counted
     from 0; a null or empty text has no line to give.  A null id sorts last.  Rows that share an id
@@ -102,9 +106,11 @@ def near_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: st
     verified word by word.
     """
     docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    lines = _lines(docs, id_col, text_col).filter(F.size("words") >= min_words)
-    seen = stored(lines.select("doc", "line_no", F.xxhash64(F.size("words"), "words").alias("line"), _half_keys().alias("halves")))
-    # a line's half keys are the same wherever it stands
+    least = min_words if equal_from is None else min(equal_from, min_words)
+    lines = _lines(docs, id_col, text_col).filter(F.size("words") >= least)
+    halves = F.when(F.size("words") >= min_words, _half_keys())
+    seen = stored(lines.select("doc", "line_no", F.xxhash64(F.size("words"), "words").alias("line"), halves.alias("halves")))
+    # a line's half keys are the same wherever it stands; shorter lines have none and emit no variants
     distinct = stored(seen.groupBy("line").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")))
     halves = distinct.select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")

@@ -114,6 +114,23 @@ def test_null_and_repeated_ids(spark):
     assert found(df) == {(None, 0): (3, 0, 0), (9, 0): (3, 0, 0)}
 
 
+def test_equal_short_lines(spark):
+    texts = ["les.\na b c d e f\n\nand ornd.", "Les.\na b c d", "a b c d\nles.\na b c e\na b c d e G", "les."]
+    df = clashing(documents(spark, texts))
+    gone = L.near_duplicate_lines(df, equal_from=1)
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no, r.edits) for r in gone.collect()}
+    assert got == {(1, 0): (0, 0, 0), (2, 0): (1, 1, 0), (2, 1): (0, 0, 0), (2, 3): (0, 1, 1), (3, 0): (0, 0, 0)}
+    assert {r.doc_id: r.text for r in L.drop_lines(df, gone).collect()} == {0: texts[0], 1: "a b c d", 2: "a b c e"}
+    assert found(df) == {(2, 3): (0, 1, 1)}
+
+
+def test_stage_cuts_equal_short_lines(spark):
+    from corpus_pipeline import line_dedup
+
+    out = line_dedup(spark, documents(spark, ["les.\none two", "les.\nthree", "three"]), SF_DIR)
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "les.\none two", 1: "three"}
+
+
 def test_sql(spark):
     from compare import compare, database
 
