@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import query, small_side, stored, table
 
 SEED_WORDS = 3
-WINDOW = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 PAIRS_AT_ONCE = 1024
@@ -54,20 +54,22 @@ def aligned(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return best
 
 
-def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scored(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Score of each region; 0 where fewer of its words are words of the item than ``threshold`` takes."""
     for batch in batches:
         found = np.zeros(len(batch))
         for _, rows in batch.groupby("item_text", sort=False).indices.items():
             words = batch["item_text"].iat[rows[0]].split(" ")
             ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
             item = np.array([ids[w] for w in words])
-            for at in range(0, len(rows), PAIRS_AT_ONCE):
-                part = rows[at : at + PAIRS_AT_ONCE]
-                coded = [[ids.get(w, -1) for w in batch["region"].iat[i].split(" ")] for i in part]
+            every = ((i, [ids.get(w, -1) for w in batch["region"].iat[i].split(" ")]) for i in rows)
+            hopeful = [(i, codes) for i, codes in every if len(codes) - codes.count(-1) >= threshold * len(item) - 1e-9]
+            for at in range(0, len(hopeful), PAIRS_AT_ONCE):
+                part, coded = zip(*hopeful[at : at + PAIRS_AT_ONCE], strict=True)
                 padded = np.full((len(part), max(map(len, coded))), -1)
                 for i, codes in enumerate(coded):
                     padded[i, : len(codes)] = codes
-                found[part] = aligned(item, padded) / (MATCH * len(item))
+                found[list(part)] = aligned(item, padded) / (MATCH * len(item))
         yield pd.DataFrame({"doc": batch["doc"], "item_id": batch["item_id"], "score": found})
 
 
@@ -84,10 +86,11 @@ def contaminated(
     share of the item aligned with itself.  1 is a verbatim copy, 0.5 one in which a third of the
     words differ, or half of the item.
 
-    Seeds are word trigrams of the items.  In each run of four trigrams of an item the one rarest among the
-    documents is a seed, so every unchanged run of six words holds one and a common phrase is used only
-    where nothing rarer is near.  A seed hit places the item in the document; hits on nearby diagonals
-    share a region, and equal regions of a document are aligned once.
+    Seeds are all word trigrams of the items, however common, so a copy is found if three words in a row
+    of it are unchanged.  A seed hit places the item in the document; hits on nearby diagonals
+    share a region, and equal regions of a document are aligned once.  A region with too few words of
+    the item to reach ``threshold`` is not aligned, which changes no result.  Hits times the items that share a trigram
+    are counted up where they arise and only regions move on.
 
     Null and empty texts and items of fewer than three words match nothing.  Rows that share an id are
     one document whose score is the best of its rows; so are null ids.  Of items that share an id the best score
@@ -101,15 +104,8 @@ def contaminated(
     wanted = small_side(stored(tests.select("gram").distinct()))
     # the outer form: else a filter on the size of the array is put below, and the grams are made twice
     exploded = _with_grams(docs, "text").select("doc", F.posexplode_outer("_grams").alias("pos", "gram"))
-    hits = stored(exploded.join(wanted, "gram", "left_semi"))
-    counted = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n_hits"))
-    ranked = tests.join(counted, "gram", "left").selectExpr(
-        "*",
-        f"min(struct(coalesce(n_hits, 0) AS n_hits, at, gram)) OVER (PARTITION BY item ORDER BY at ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS rare",
-        f"at <= greatest(n - {SEED_WORDS - 1} - {WINDOW}, 0) AS whole",
-    )
-    seeds = small_side(stored(ranked.filter("whole").select("item", "n", "rare.at", "rare.gram").distinct()))
-    placed = hits.join(seeds, "gram").select("doc", "item", "n", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = exploded.join(wanted, "gram", "left_semi")
+    placed = hits.join(small_side(tests), "gram").select("doc", "item", "n", (F.col("pos") - F.col("at")).alias("diagonal"))
     wide = F.greatest(F.lit(8), F.floor(F.col("n") / 2)).cast("int")
     groups = placed.groupBy("doc", "item", "n", F.floor(F.col("diagonal") / wide).alias("part"))
     near = groups.agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
@@ -123,7 +119,7 @@ def contaminated(
     regions = read.select("doc", F.explode(F.array_distinct(cut)).alias("r")).select("doc", "r.item", "r.region").filter("region <> ''")
     regions = regions.repartition("doc", "region").join(small_side(given), "item").select("doc", "item_id", "item_text", "region")
     kinds = f"doc {dict(docs.dtypes)['doc']}, item_id {dict(items.dtypes)['item_id']}, score double"
-    scored = regions.mapInPandas(_scored, kinds)
+    scored = regions.mapInPandas(partial(_scored, threshold=threshold), kinds)
     best = scored.groupBy("doc", "item_id").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
     return best.withColumnRenamed("doc", id_col)
 

@@ -82,6 +82,25 @@ def test_common_phrases_long_texts_and_repeats(spark):
     assert D.contaminated(df, given.limit(0)).count() == 0
 
 
+def test_every_fifth_word_replaced_beside_verbatim_copies(spark):
+    rng = random.Random(10)
+    items = [prose(rng, 40, 3000) for _ in range(6)]
+    texts, want = [], set()
+    for n, item in enumerate(items):
+        for every in (5, 6, 4):
+            copy = [f"z{n}" if i % every == every - 1 else w for i, w in enumerate(item)]
+            assert align(item, copy) >= len(item)
+            want.add((len(texts), n))
+            texts.append(" ".join(prose(rng, 30, 3000) + copy + prose(rng, 30, 3000)))
+        want.add((len(texts), n))
+        texts.append(" ".join(item))
+    given = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(documents(spark, texts), given).collect()}
+    assert set(got) == want
+    for (i, n), score in got.items():
+        assert abs(score - align(items[n], texts[i].split(" ")) / 80) < 1e-9
+
+
 def test_given_passages(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
