@@ -18,7 +18,8 @@ OPEN = ["Ms", "Mx", "Dr", "Prof"]
 EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?!\d)"
+#: No further group of a phone number begins where an address begins.
+PHONE = rf"(?<![\d+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:(?![ .-]?{IP})[ .-]?\d{{2,4}}){{2,4}}|(?:\(\d{{3}}\) ?|\d{{3}}[-.])\d{{3}}[-.]\d{{4}})(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
 NAME = rf"(?=[MSHFDPг])(?<!\p{{L}})(?:{'|'.join([*MALE, *FEMALE, *OPEN])})\.? {NAME_WORD}(?: {NAME_WORD})?"

@@ -60,6 +60,14 @@ def test_surrogates_match_type_and_format(spark):
     assert re.fullmatch(r"[А-Я][а-я]+", names[3][2])
 
 
+def test_phone_before_an_address(spark):
+    texts = ["call +1 (017) 555-7713 161.17.88.162 now", "+1 (017) 555-7713 or 161.17.88.162", "+49 30 1234 5678 10.1.2.3, +44.20.1234.5678 and +1 (017) 555-7713 16.17"]
+    got = run(spark, texts)
+    assert [[k for k, _, _ in got[i][1]] for i in range(3)] == [["phone", "ip"], ["phone", "ip"], ["phone", "ip", "phone", "phone"]]
+    assert [s for _, _, s in got[0][1]] == [s for _, _, s in got[1][1]]
+    assert "161.17" not in got[0][0] and "88.162" not in got[0][0]
+
+
 def test_one_thing_one_surrogate_and_two_things_two(spark):
     rng = random.Random(3)
     ips = [f"{rng.randrange(11, 99)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(400)]
