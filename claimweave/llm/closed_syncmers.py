@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import query, stored, table
 
-#: Words in a k-mer and in its inner substrings; anchors that a fingerprint keeps.
+#: Words in a k-mer and in its inner substrings; anchors that the further column ``sketch`` shows.
 K, S, KEPT = 4, 2, 64
 
 
@@ -24,6 +24,13 @@ def with_pairs(df: DataFrame, text: str, out: str) -> DataFrame:
     return hashed.withColumn(out, F.when(F.size(out) < K, F.col(out)).otherwise(pairs))
 
 
+def _kmers(pairs: str) -> Column:
+    """The hash of each k-mer in order, null where it is no closed syncmer; a text of fewer words gives its words' hash."""
+    edges = F.zip_with(_but(pairs, 0, 2), _but(pairs, 2, 0), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
+    kmers = F.zip_with(edges, _but(pairs, 1, 1), lambda e, b: F.when(b >= F.least(e["a"], e["c"]), F.xxhash64(e["a"], e["c"])))
+    return F.when(F.size(pairs) < K - S + 1, F.when(F.size(pairs) > 0, F.array(F.xxhash64(pairs))).otherwise(F.array().cast("array<bigint>"))).otherwise(kmers)
+
+
 def anchors(pairs: str) -> Column:
     """The closed syncmers among the k-mers: those whose smallest inner substring is the first or the last.
 
@@ -31,33 +38,51 @@ def anchors(pairs: str) -> Column:
     wherever they stand.  Of three inner hashes the middle one must not be the strict minimum.  A text
     of fewer words than a k-mer has one anchor, all its words; an empty one has none.
     """
-    edges = F.zip_with(_but(pairs, 0, 2), _but(pairs, 2, 0), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
-    kmers = F.zip_with(edges, _but(pairs, 1, 1), lambda e, b: F.when(b >= F.least(e["a"], e["c"]), F.xxhash64(e["a"], e["c"])))
-    return F.when(F.size(pairs) < K - S + 1, F.when(F.size(pairs) > 0, F.array(F.xxhash64(pairs))).otherwise(F.array().cast("array<bigint>"))).otherwise(
-        F.array_compact(kmers)
-    )
+    return F.array_compact(_kmers(pairs))
+
 
+def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds all anchors of the whole text in order, as structs (h, at) of hash and word position, and their links in ``<out>_links``.
+
+    A link is the hash of two anchors that follow each other and of the words between their starts.
+    """
+    kmers = with_pairs(df, text, "_inner").withColumn("_kmers", _kmers("_inner"))
+    placed = F.transform("_kmers", lambda h, i: F.when(h.isNotNull(), F.struct(h.alias("h"), i.alias("at"))))
+    marked = kmers.withColumn(out, F.array_compact(placed))
+    links = F.zip_with(_but(out, 0, 1), _but(out, 1, 0), lambda a, b: F.xxhash64(a["h"], b["h"], b["at"] - a["at"]))
+    return marked.withColumn(f"{out}_links", links).drop("_inner", "_kmers")
 
-def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the ``KEPT`` smallest distinct anchors of the whole text, ascending."""
-    with_inner = with_pairs(df, text, "_inner")
-    chosen = with_inner.withColumn("_anchors", anchors("_inner"))
-    return chosen.withColumn(out, F.slice(F.array_sort(F.array_distinct("_anchors")), 1, KEPT)).drop("_inner", "_anchors")
+
+def shared_part(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two arrays as sets, from all their entries; two empty ones are alike."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two texts' anchors from their sketches: shared entries of the smallest ``KEPT`` of both.
+    """Exact Jaccard likeness of two texts' anchors."""
+    return shared_part(F.col(a)["h"], F.col(b)["h"])
+
 
-    Exact where both have at most ``KEPT`` anchors together.  Two texts without anchors are alike.
+def placed_likeness(a: str, b: str) -> Column:
+    """Likeness by position: of the links between anchors, the part that both texts have, at whatever offset.
+
+    Texts of one anchor at most have no link and go by their anchors.
     """
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    one, two = f"{a}_links", f"{b}_links"
+    return F.when((F.size(one) == 0) & (F.size(two) == 0), likeness(a, b)).otherwise(shared_part(F.col(one), F.col(two)))
+
+
+def printed(marks: str) -> Column:
+    """SHA-256 over all anchors and their positions; the empty text for no anchor."""
+    every = F.array_join(F.transform(marks, lambda m: F.concat_ws("@", m["h"].cast("string"), m["at"].cast("string"))), ",")
+    return F.when(F.size(marks) == 0, F.lit("")).otherwise(F.sha2(every, 256))
 
 
-def printed(sketched: str) -> Column:
-    """A fingerprint as text: 16 hexadecimal digits for each anchor."""
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def sketch(marks: str) -> Column:
+    """The ``KEPT`` smallest distinct anchors as text, 16 hexadecimal digits each; nothing else is computed from it."""
+    least = F.slice(F.array_sort(F.array_distinct(F.col(marks)["h"])), 1, KEPT)
+    return F.array_join(F.transform(least, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def _blocks(ids: DataFrame, parts: int) -> DataFrame:
@@ -104,8 +129,11 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "id") -> DataFr
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited, placed_next,
+    sketch, edited_sketch), a row for each row.
 
+    Fingerprints and likeness are over all closed syncmers of the whole texts; ``placed`` counts those that keep
+    their distance to the next one.
     The edited text has the last third (rounded down) of the code points replaced by as many from the
     start of the next document in descending id order, or by all of it where it is shorter.
     A null text counts as empty.  Ids are integers; rows that share one follow each other in the order of
@@ -113,16 +141,19 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     neighbour.  No rows give no rows; further columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    led = with_next(sketch(slim, "text", "mine"), ["text", "mine"])
+    # texts move alone: anchors of both sides are made after the exchange
+    led = with_next(slim, ["text"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    led = led.select("id", n.cast("long").alias("n_chars"), "mine", "next_mine", edited.alias("edited"))
-    out = sketch(led, "edited", "theirs")
+    led = led.select("id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    out = with_marks(with_marks(with_marks(led, "text", "mine"), "next_text", "next"), "edited", "theirs")
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         printed("mine").alias("fingerprint"), printed("theirs").alias("edited_fingerprint"),
-        likeness("mine", "theirs").alias("near_edited"), likeness("mine", "next_mine").alias("near_next"),
+        likeness("mine", "theirs").alias("near_edited"), likeness("mine", "next").alias("near_next"),
+        placed_likeness("mine", "theirs").alias("placed_edited"), placed_likeness("mine", "next").alias("placed_next"),
+        sketch("mine").alias("sketch"), sketch("theirs").alias("edited_sketch"),
     )
 
 

@@ -78,3 +78,18 @@ def test_equal_texts_nulls_repeats(spark):
     single = C.edited_pairs(documents(spark, ["abc def"])).first()
     assert single.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
     assert C.edited_pairs(df.filter(F.lit(False))).count() == 0
+
+
+def test_likeness_is_over_all_anchors(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 50, 10**6)
+    one, two = ([*prose(rng, 2000, 10**6), *passage, *prose(rng, 2000, 10**6)] for _ in range(2))
+    df = spark.createDataFrame([(2, " ".join(one)), (1, " ".join(two)), (0, " ".join([*two[:-1], "end"]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in C.edited_pairs(df).collect()}
+    marks = [set(C.with_marks(spark.createDataFrame([(" ".join(t),)], "text string"), "text", "m").select(F.col("m")["h"].alias("h")).first().h) for t in (one, two)]
+    assert got[2].near_next == len(marks[0] & marks[1]) / len(marks[0] | marks[1]) > 0
+    assert 0 < got[2].placed_next < 0.02 and got[1].placed_next > 0.99
+    assert len({r.fingerprint for r in got.values()}) == 3
+    moved = spark.createDataFrame([(2, " ".join(two)), (1, " ".join([*two[3000:], *two[:3000]]))], "doc_id long, text string")
+    row = next(r for r in C.edited_pairs(moved).collect() if r.doc_id == 2)
+    assert row.near_next > 0.99 and row.placed_next > 0.99
