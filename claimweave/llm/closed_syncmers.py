@@ -44,13 +44,16 @@ def anchors(pairs: str) -> Column:
 def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds all anchors of the whole text in order, as structs (h, at) of hash and word position, and their links in ``<out>_links``.
 
+    A text with words but no closed syncmer, which four words may be, has one anchor, all its words.
     A link is the hash of two anchors that follow each other and of the words between their starts.
     """
     kmers = with_pairs(df, text, "_inner").withColumn("_kmers", _kmers("_inner"))
     placed = F.transform("_kmers", lambda h, i: F.when(h.isNotNull(), F.struct(h.alias("h"), i.alias("at"))))
-    marked = kmers.withColumn(out, F.array_compact(placed))
+    whole = F.array(F.struct(F.xxhash64("_inner").alias("h"), F.lit(0).alias("at")))
+    marked = kmers.withColumn("_marks", F.array_compact(placed))
+    marked = marked.withColumn(out, F.when((F.size("_marks") == 0) & (F.size("_inner") > 0), whole).otherwise(F.col("_marks")))
     links = F.zip_with(_but(out, 0, 1), _but(out, 1, 0), lambda a, b: F.xxhash64(a["h"], b["h"], b["at"] - a["at"]))
-    return marked.withColumn(f"{out}_links", links).drop("_inner", "_kmers")
+    return marked.withColumn(f"{out}_links", links).drop("_inner", "_kmers", "_marks")
 
 
 def shared_part(a: Column, b: Column) -> Column:

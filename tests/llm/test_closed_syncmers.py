@@ -93,3 +93,11 @@ def test_likeness_is_over_all_anchors(spark):
     moved = spark.createDataFrame([(2, " ".join(two)), (1, " ".join([*two[3000:], *two[:3000]]))], "doc_id long, text string")
     row = next(r for r in C.edited_pairs(moved).collect() if r.doc_id == 2)
     assert row.near_next > 0.99 and row.placed_next > 0.99
+
+
+def test_every_text_with_words_has_an_anchor(spark):
+    df = documents(spark, [f"a{i} b{i} c{i} d{i}" for i in range(60)])
+    rows = C.edited_pairs(df).collect()
+    assert len({r.fingerprint for r in rows} - {""}) == 60
+    assert all(r.near_next == 0 for r in rows)
+    assert any(len(a.a) == 0 for a in C.with_pairs(df, "text", "p").select(C.anchors("p").alias("a")).collect())
