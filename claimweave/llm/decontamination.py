@@ -125,9 +125,10 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no copy of a test item, columns as they came."""
-    found = contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows whose text holds no copy of a test item, columns as they came; rows that share an id, or have none, go by their own texts."""
+    key = F.concat_ws("|", docs["doc_id"].cast("string"), F.length(docs["text"]).cast("string"), F.xxhash64(docs["text"]).cast("string"))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(found, key == found["_held"], "left_anti")
 
 
 @query("op2_decontamination")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from claimweave.llm.common import held_out, query, stored, table
 
@@ -201,17 +202,21 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 1_500, buckets: int =
     return fit(sampled(docs, labels, each, buckets), buckets)
 
 
+def _shared(spark: SparkSession, model: Model):
+    """The model as a broadcast value, less what only training needs."""
+    model.margin()
+    slim_model = Model(np.empty((len(model.embeddings), 0), np.float32), np.empty((0, 2)), model.bias, model.margins.astype(np.float32))
+    return spark.sparkContext.broadcast(slim_model)
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row by its whole text; an empty or null text has the score of no words.
 
     Repeated rows get equal scores, null ids and further columns change nothing, no rows give no rows.
     Without labelled rows all scores are a half; with one label only, its share with one added to both counts.
     """
-    spark: SparkSession = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    model.margin()
-    slim_model = Model(np.empty((len(model.embeddings), 0), np.float32), np.empty((0, 2)), model.bias, model.margins.astype(np.float32))
-    shared = spark.sparkContext.broadcast(slim_model)
+    shared = _shared(docs.sparkSession, model)
     slim = docs.select(F.col(id_col).alias("_i"), held_out(F.col(id_col)).alias("_h"), F.col(text_col).alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +232,17 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose text is not predicted toxic, columns as they came; a null or empty text stays."""
-    found = scores(docs, train(docs, labels)).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    shared = _shared(docs.sparkSession, train(docs, labels))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            texts = list(batch)
+            found = [s for i in range(0, len(texts), TEXTS_AT_ONCE) for s in shared.value.scores(texts[i : i + TEXTS_AT_ONCE], cache)]
+            yield pd.Series(np.array(found, float) < 0.5)
+
+    clean = F.pandas_udf(run, "boolean", PandasUDFType.SCALAR_ITER)
+    return docs.filter(clean(F.col("text")))
 
 
 @query("op4_toxicity")

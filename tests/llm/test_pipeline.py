@@ -4,9 +4,9 @@ import corpus_pipeline
 from llm_helpers import documents, prose
 from pyspark.sql import functions as F
 
-from claimweave.llm.decontamination import contaminated
+from claimweave.llm.decontamination import contaminated, drop_contaminated
 from claimweave.llm.simhash_golay import near_duplicates
-from claimweave.llm.toxicity import scores, train
+from claimweave.llm.toxicity import drop_toxic, scores, train
 
 
 def fixture(spark, folder):
@@ -80,6 +80,21 @@ def test_stages_keep_what_their_operators_say(spark):
     assert ids(stages["near_duplicates"](spark, docs, sf)) == {r.component_id for r in groups}
 
 
+def test_rows_that_share_an_id_or_have_none_go_by_their_texts(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("labels", "benchmark"))
+    leak = items.first().text
+    rng = random.Random(5)
+    words = prose(rng, 60, 5000)
+    toxic = " ".join([*words, *["zork", "bliff", "quamp"] * 4])
+    more = spark.createDataFrame([(i, t) for i in (None, 9000) for t in (" ".join(words), toxic, leak)], "doc_id long, text string")
+    every = docs.unionByName(more, allowMissingColumns=True)
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.filter("doc_id IS NULL OR doc_id = 9000").collect())
+    assert texts(drop_toxic(every, labels)) == sorted((i, t) for i in ("None", "9000") for t in (" ".join(words), leak))
+    assert texts(drop_contaminated(every, items)) == sorted((i, t) for i in ("None", "9000") for t in (" ".join(words), toxic))
+
+
 def test_no_documents(spark, tmp_path):
     docs = documents(spark, ["one"]).filter(F.lit(False))
     for name, empty in (("documents", docs), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
