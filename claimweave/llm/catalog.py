@@ -8,9 +8,12 @@ from claimweave.llm import (
     line_dedup,
     pii_surrogates,
     secret_scan,
+    sharded_lloyd,
     simhash_golay,
+    spelling_variants,
     toxicity,
     url_filter,
+    virtual_slots,
 )
 from claimweave.llm.common import ORACLES, QUERIES
 
@@ -24,7 +27,10 @@ __all__ = [
     "line_dedup",
     "pii_surrogates",
     "secret_scan",
+    "sharded_lloyd",
     "simhash_golay",
+    "spelling_variants",
     "toxicity",
     "url_filter",
+    "virtual_slots",
 ]

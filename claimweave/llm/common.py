@@ -45,11 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: later jobs start from the files."""
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: later jobs start from the files.
+
+    ``partition_by`` names the last column, each value of which gets a folder of its own.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"stored-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
