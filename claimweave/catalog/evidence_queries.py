@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimweave.catalog.base import (
-    ARTICLES_CTE, ASOF, CLAIMS_CTE, WORD, articles, claims, query, rounded, sql_capitals, sql_sentences, sql_tokens,
+    ARTICLES_CTE, ASOF, CLAIMS_CTE, FEEDS, WORD, articles, claims, query, rounded, sql_capitals, sql_sentences, sql_tokens,
     sql_words, strings, table, with_capitals, with_ctes,
 )
 from claimweave.functions import fixed_values as fixed
@@ -13,7 +15,8 @@ from claimweave.operators import evidence as E
 from claimweave.operators import retrieval as R
 from claimweave.operators.entities import capitalized_entities, simple_entities
 from claimweave.plans.verify import route_claims, with_mode
-from claimweave.scale import cut_lineage
+from claimweave.scale import cut_lineage, shared_folder
+from claimweave.sources.postings import PostingsIndex
 
 STOP = strings(fixed.STOPWORDS)
 CONFIRM, DENY, CREDIBLE = ["and the", "tion of"], ["of the", "ing the"], ["src1", "src7"]
@@ -242,6 +245,23 @@ def select_candidates(spark, sf_dir):
     return found.select("claim_id", "article_id", "source_api", "feed_rank")
 
 
+def _indexed(spark, sf_dir) -> PostingsIndex:
+    """All articles in an index, an addition for each feed, merged on the way."""
+    index = PostingsIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=16, max_segments=2)
+    for feed in FEEDS:
+        index.add(articles(spark, sf_dir).filter(F.col("source_api") == feed), feed)
+    return index
+
+
+@query(
+    "indexed_candidates",
+    with_ctes(*RETRIEVAL) + " SELECT claim_id, article_id, source_api, feed_rank FROM candidates",
+)
+def indexed_candidates(spark, sf_dir):
+    found = R.select_candidates(_queries(spark, sf_dir), None, ASOF, index=_indexed(spark, sf_dir))
+    return found.select("claim_id", "article_id", "source_api", "feed_rank")
+
+
 @query(
     "similar_titles",
     with_ctes(*RETRIEVAL, TITLED_CTE)
@@ -283,6 +303,15 @@ def gather_evidence(spark, sf_dir):
     return found.select("claim_id", "ord", "article_id", "title", "source", "url", "source_api")
 
 
+@query(
+    "indexed_evidence",
+    with_ctes(*RETRIEVAL, EVIDENCE_CTE) + " SELECT claim_id, ord, article_id, title, source, url, source_api, md5(text) AS text_md5 FROM evidence",
+)
+def indexed_evidence(spark, sf_dir):
+    found = R.gather_evidence(_queries(spark, sf_dir), None, ASOF, index=_indexed(spark, sf_dir))
+    return found.select("claim_id", "ord", "article_id", "title", "source", "url", "source_api", F.md5("text").alias("text_md5"))
+
+
 @query(
     "cap_evidence",
     with_ctes(*RETRIEVAL, EVIDENCE_CTE, CAPPED_CTE.format(5)) + " SELECT claim_id, ord, article_id FROM capped",

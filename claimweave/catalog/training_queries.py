@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimweave.catalog.base import WORD, query, rounded, sql_ratio, sql_words, strings, table, with_ctes
 from claimweave.operators import metrics as M
 from claimweave.operators import sampling as S
 from claimweave.operators import tfidf as V
+from claimweave.scale import shared_folder
 from claimweave.sources import corpora
 from claimweave.sources.store import validate_feature_store
 
@@ -85,6 +88,23 @@ def isot_corpus(spark, sf_dir):
     return rounded(isot_rows(spark, sf_dir).withColumn("text", F.md5("text")))
 
 
+@query(
+    "read_isot",
+    with_ctes(ISOT_CTE)
+    + f" SELECT {COLUMNS.removeprefix('id, ')} FROM isot",
+)
+def read_isot(spark, sf_dir):
+    """All documents written as the two quoted files, then read back."""
+    folder = f"{shared_folder(spark)}/isot-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(
+        F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("content"), F.when(_mod(5) != 0, F.col("lang")).alias("subject"), (_mod(3) == 0).alias("_fake")
+    )
+    for name, part in (("Fake", F.col("_fake")), ("True", ~F.col("_fake"))):
+        docs.filter(part).drop("_fake").write.csv(f"{folder}/{name}.csv", header=True, quoteAll=True, escape='"')
+    read = corpora.read_isot(spark, folder).withColumn("text", F.md5("text"))
+    return rounded(read.drop("id"))
+
+
 @query("combine_corpora", with_ctes(CORPUS_CTE) + f" SELECT {COLUMNS} FROM corpus")
 def combine_corpora(spark, sf_dir):
     return rounded(corpus(spark, sf_dir).withColumn("text", F.md5("text")))

@@ -12,6 +12,7 @@ from claimweave.scale import cut_lineage, fits_broadcast, hot_key_join
 
 
 WORD_SALTS = 16
+MAX_DAYS = 4_000
 
 
 def content_words(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
@@ -77,19 +78,58 @@ def search_queries(claims: DataFrame, id_col: str = "claim_id", text_col: str =
     return out.withColumn("search_query", F.array_join(search_terms(capitalized_entities(text_col), found), " "))
 
 
-def eligible_articles(articles: DataFrame, asof: Column | str) -> DataFrame:
-    """Articles a feed would offer: English, recent and in an allowed category, per feed."""
-    asof = F.lit(asof) if isinstance(asof, str) else asof
+def offered_articles(articles: DataFrame) -> DataFrame:
+    """Articles a feed would offer at any time: English and in an allowed category, per feed."""
     ok = F.col("lang") == "en"
-    for feed, days in fixed.FEED_MAX_AGE_DAYS.items():
-        recent = F.col("published_at") >= F.date_sub(F.to_date(asof), days).cast("timestamp")
-        ok = ok & ((F.col("source_api") != feed) | recent)
     for feed, banned in fixed.FEED_EXCLUDED_CATEGORIES.items():
         allowed = F.coalesce(~F.col("category").isin(*banned), F.lit(True))
         ok = ok & ((F.col("source_api") != feed) | allowed)
     return articles.filter(ok)
 
 
+def recent_articles(articles: DataFrame, asof: Column | str) -> DataFrame:
+    """Articles not older than their feed allows."""
+    asof = F.lit(asof) if isinstance(asof, str) else asof
+    ok = F.lit(True)
+    for feed, days in fixed.FEED_MAX_AGE_DAYS.items():
+        recent = F.col("published_at") >= F.date_sub(F.to_date(asof), days).cast("timestamp")
+        ok = ok & ((F.col("source_api") != feed) | recent)
+    return articles.filter(ok)
+
+
+def eligible_articles(articles: DataFrame, asof: Column | str) -> DataFrame:
+    """Articles a feed would offer: English, recent and in an allowed category, per feed."""
+    return recent_articles(offered_articles(articles), asof)
+
+
+def article_postings(articles: DataFrame) -> DataFrame:
+    """(word, source_api, published_at, article_id) for each distinct word of an article's title and text."""
+    text = F.lower(F.concat_ws(" ", T.text_of("title"), T.text_of("text")))
+    # the outer form keeps Spark from cutting each text a second time for a filter on the array's size
+    word = F.explode_outer(F.array_distinct(T.find_all(text, T.WORD_PATTERN))).alias("word")
+    rows = articles.select("article_id", "source_api", "published_at", word)
+    return rows.select("word", "source_api", "published_at", "article_id")
+
+
+def newest_postings(postings: DataFrame, most: int, words: DataFrame | None = None) -> DataFrame:
+    """The newest ``most`` postings of each word and feed.
+
+    The newest of each salt come first, so that a word in most articles is cut by many tasks.  ``words`` names the words
+    that are wanted: few of them (checked) are sent to the scan, many meet the postings after the first cut, when a
+    word has no more than a few rows a task.
+    """
+    few = words is not None and fits_broadcast(words)
+    if few:
+        postings = postings.join(F.broadcast(words), "word", "left_semi")
+    postings = postings.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.lit(WORD_SALTS)))
+    for keys in (["word", "source_api", "_salt"], ["word", "source_api"]):
+        newest = Window.partitionBy(*keys).orderBy(F.desc("published_at"), "article_id")
+        postings = postings.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= most).drop("_rank")
+        if words is not None and not few and "_salt" in keys:
+            postings = postings.join(words, "word", "left_semi")
+    return postings.drop("_salt")
+
+
 def _feed_limit(limits: dict[str, int], default: int) -> Column:
     limit = F.lit(default)
     for feed, k in limits.items():
@@ -105,6 +145,7 @@ def select_candidates(
     query_col: str = "search_query",
     limits: dict[str, int] = fixed.FEED_LIMITS,
     default_limit: int = fixed.OTHER_FEED_LIMIT,
+    index=None,
 ) -> DataFrame:
     """Newest matching articles per claim and feed: (claim, article, source_api, published_at, feed_rank).
 
@@ -116,29 +157,21 @@ def select_candidates(
     article lists are cut to k per (word, feed) before they meet the claims.  A
     word in a third of all articles therefore costs k rows per claim, not
     a third of the articles, and the result is exact.
+
+    ``index`` (a ``sources.postings.PostingsIndex``) holds these lists already, and then no article is read.  Its lists are cut without
+    a look at the date, which loses nothing: the newest come first, so the recent ones of the newest k are the newest k recent ones.
     """
     most, limit = max(default_limit, *limits.values()), _feed_limit(limits, default_limit)
     wanted = queries.select(
         id_col, F.explode(F.array_distinct(T.find_all(F.lower(F.col(query_col)), T.WORD_PATTERN))).alias("word")
     )
     vocabulary = wanted.select("word").distinct()
-    offered = eligible_articles(articles, asof)
-    text = F.lower(F.concat_ws(" ", T.text_of("title"), T.text_of("text")))
-    # the outer form keeps Spark from cutting each text a second time for a filter on the array's size
-    postings = offered.select(
-        "article_id",
-        "source_api",
-        "published_at",
-        F.explode_outer(F.array_distinct(T.find_all(text, T.WORD_PATTERN))).alias("word"),
-    )
-    if fits_broadcast(vocabulary):
-        postings = postings.join(F.broadcast(vocabulary), "word", "left_semi")
-    # the newest of each salt first, so that a word in most articles is cut by many tasks
-    postings = postings.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.lit(WORD_SALTS)))
-    for keys in (["word", "source_api", "_salt"], ["word", "source_api"]):
-        newest = Window.partitionBy(*keys).orderBy(F.desc("published_at"), "article_id")
-        postings = postings.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= most)
-    postings = postings.filter(F.col("_rank") <= limit).drop("_rank", "_salt")
+    if index is None:
+        postings = newest_postings(article_postings(eligible_articles(articles, asof)), most, vocabulary)
+    else:
+        if most > index.depth:
+            raise ValueError(f"the index holds the newest {index.depth} articles of a word, not {most}")
+        postings = newest_postings(recent_articles(index.postings(vocabulary), asof), most)
     pairs = hot_key_join(wanted, postings, "word").drop("word").distinct()
     order = Window.partitionBy(id_col, "source_api").orderBy(F.desc("published_at"), "article_id")
     ranked = pairs.withColumn("feed_rank", F.row_number().over(order)).filter(F.col("feed_rank") <= most)
@@ -211,10 +244,16 @@ def wanted_articles(articles: DataFrame, wanted: DataFrame) -> DataFrame:
     """The articles whose id occurs in ``wanted``.
 
     Their distinct ids are counted: up to the bound of a broadcast they are sent to the scan, so no other
-    article's text is moved; more of them go through a shuffle.
+    article's text is moved; more of them go through a shuffle.  Where both sides tell the day (``dt``) it is part of the key, and
+    folders of other days are not read (a list of up to ``MAX_DAYS`` days goes to the scan, no list if there are more).
     """
-    ids = cut_lineage(wanted.select("article_id").distinct())
-    return articles.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "article_id", "left_semi")
+    on = ["article_id", "dt"] if "dt" in wanted.columns and "dt" in articles.columns else ["article_id"]
+    ids = cut_lineage(wanted.select(*on).distinct())
+    if "dt" in on:
+        days = [r[0] for r in ids.select("dt").distinct().limit(MAX_DAYS + 1).collect()]
+        if len(days) <= MAX_DAYS:
+            articles = articles.filter(F.col("dt").isin(days))
+    return articles.join(F.broadcast(ids) if fits_broadcast(ids) else ids, on, "left_semi")
 
 
 def gather_evidence(
@@ -224,6 +263,7 @@ def gather_evidence(
     id_col: str = "claim_id",
     query_col: str = "search_query",
     cap_col: str | None = None,
+    index=None,
 ) -> DataFrame:
     """Evidence per claim in feed order: (claim, ord, article_id, title, text, source, url, source_api).
 
@@ -232,16 +272,27 @@ def gather_evidence(
     written out once; they are four short columns and at most 40 rows per claim.  The same
     holds for the queries and the kept articles.  ``cap_col`` of the queries caps the articles of each
     claim before any text is fetched, and only articles somebody kept are moved to meet the claims.
+    With an ``index`` of the articles the candidates come from its postings, and titles and texts from the days of its
+    store that hold a wanted article; ``articles`` is not looked at then.
     """
     queries = cut_lineage(queries.select(id_col, query_col, *([cap_col] if cap_col else [])))
-    candidates = cut_lineage(select_candidates(queries, articles, asof, id_col, query_col))
-    heads = wanted_articles(articles.select("article_id", "title", "url"), candidates)
-    kept = dedup_articles(hot_key_join(candidates, heads, "article_id"), id_col)
+    candidates, day = select_candidates(queries, articles, asof, id_col, query_col, index=index), []
+    if index is not None:
+        articles, day = index.articles(), ["dt"]
+        # of an article stored on several days a claim takes the newest
+        again = Window.partitionBy(id_col, "article_id").orderBy(F.desc("published_at"), "feed_rank")
+        candidates = candidates.withColumn("_again", F.row_number().over(again)).filter("_again = 1").drop("_again")
+        candidates = candidates.withColumn("dt", index.day("published_at"))
+    candidates = cut_lineage(candidates)
+    heads = wanted_articles(articles.select("article_id", "title", "url", *day), candidates)
+    kept = dedup_articles(hot_key_join(candidates, heads, ["article_id", *day]), id_col)
+    if index is not None:
+        kept = kept.join(candidates.select(id_col, "article_id", "dt"), [id_col, "article_id"])
     if cap_col:
         kept = cap_evidence(kept.join(queries.select(id_col, cap_col), id_col), F.col(cap_col), id_col).drop(cap_col)
     kept = cut_lineage(kept)
-    bodies = wanted_articles(articles.select("article_id", "title", "text", "source", "url", "source_api"), kept)
-    found = hot_key_join(kept, bodies, "article_id")
+    bodies = wanted_articles(articles.select("article_id", "title", "text", "source", "url", "source_api", *day), kept)
+    found = hot_key_join(kept, bodies, ["article_id", *day])
     columns = [id_col, "ord", "article_id", "title", "text", "source", "url", "source_api"]
     missing = queries.join(kept.select(id_col).distinct(), id_col, "left_anti")
     none = F.lit(None)

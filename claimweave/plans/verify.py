@@ -17,13 +17,17 @@ from claimweave.operators import verdict as V
 from claimweave.operators.bias import score_bias
 from claimweave.operators.entities import flat_entities, typed_entities
 from claimweave.scale import cut_lineage
+from claimweave.sources.postings import PostingsIndex
 
 
 @dataclass
 class Tables:
-    """Inputs of the verification beside the claims."""
+    """Inputs of the verification beside the claims.
 
-    articles: DataFrame
+    With an ``index`` of the articles (``sources.postings.PostingsIndex``) evidence comes from it, and ``articles`` may be left out.
+    """
+
+    articles: DataFrame | None
     lexicon: DataFrame
     sources: DataFrame
     asof: Column | str
@@ -32,6 +36,7 @@ class Tables:
     triples: DataFrame | None = None
     responses: DataFrame | None = None
     probabilities: DataFrame | None = None
+    index: PostingsIndex | None = None
     credible: list[str] = field(default_factory=lambda: list(fixed.CREDIBLE_SOURCES))
 
 
@@ -87,7 +92,7 @@ def route_articles(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def retrieve(claims: DataFrame, tables: Tables) -> DataFrame:
     """Evidence of each claim, capped by its mode."""
     queries = R.search_queries(claims).select("claim_id", "search_query", "article_cap")
-    return R.gather_evidence(queries, tables.articles, tables.asof, cap_col="article_cap")
+    return R.gather_evidence(queries, tables.articles, tables.asof, cap_col="article_cap", index=tables.index)
 
 
 def knowledge(claims: DataFrame, tables: Tables) -> DataFrame | None:

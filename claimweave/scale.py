@@ -197,13 +197,11 @@ def global_rank(df: DataFrame, group: list[str], bucket: str, order: list, rank:
     return counted.withColumnsRenamed({"cum_one": rank, "total_one": size}).drop("one")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the cluster and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster: the one named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session that
-    names none (a local test) gets a folder of its own.
+    Only a session that names none (a local test) gets a folder of its own.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -212,4 +210,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder of the cluster and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
 from claimweave.operators.features import source_credibility
+from claimweave.scale import cut_lineage
+from claimweave.sources.quoted_csv import read_quoted_csv
 
 LIAR_SCHEMA = (
     "id string, label string, statement string, subject string, speaker string, job_title string, "
@@ -44,9 +46,11 @@ def isot_corpus(raw: DataFrame, key: Column | None = None) -> DataFrame:
     """Common columns of labelled articles.
 
     The id is a digest of title and text followed by ``key``, which tells copies apart; without a key
-    it is the row's position in its partition of the input.
+    it is the row's position in its partition of the input, which is fixed by writing the rows first.
     """
-    key = F.monotonically_increasing_id() if key is None else key
+    if key is None:
+        raw = cut_lineage(raw.withColumn("_position", F.monotonically_increasing_id()))
+    key = F.col("_position") if key is None else key
     renames = {}
     for target, other in (("text", "content"), ("title", "headline")):
         if target not in raw.columns and other in raw.columns:
@@ -70,13 +74,17 @@ def isot_corpus(raw: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def read_isot(spark: SparkSession, path: str) -> DataFrame:
-    """The two files (or folders of files) of articles.  A quoted text may hold line ends, so one file is one task."""
+    """The two files (or folders of files) of articles.
+
+    A quoted text may hold line ends; a file is cut by byte ranges all the same.  The id ends with the file's name and the
+    byte the article begins at, so it is the same however the file is cut.
+    """
 
     def one(name: str, label: str) -> DataFrame:
-        raw = spark.read.csv(f"{path}/{name}.csv", header=True, multiLine=True, quote='"', escape='"')
-        return raw.withColumn("label", F.lit(label))
+        return read_quoted_csv(spark, f"{path}/{name}.csv").withColumn("label", F.lit(label))
 
-    return isot_corpus(one("Fake", "fake").unionByName(one("True", "real"), allowMissingColumns=True))
+    both = one("Fake", "fake").unionByName(one("True", "real"), allowMissingColumns=True)
+    return isot_corpus(both, F.concat("_file", F.lit(":"), "_offset"))
 
 
 def combine_corpora(*corpora: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.functions import text as T
 from claimweave.plans.verify import Tables, verify_claims
+from claimweave.sources.postings import PostingsIndex
 
 
 def verify_stream(claims: DataFrame, tables: Tables, out: str, checkpoint: str, mode: str = "balanced") -> StreamingQuery:
-    """Verifies each micro-batch against the static tables.
+    """Verifies each micro-batch against the articles known when it starts.
 
+    With ``tables.index`` a batch reads the postings of its own words and the days that hold articles it keeps; what
+    ``index_articles`` added since the last batch takes part.  With ``tables.articles`` alone, every batch tokenises all of them.
     A batch is written to a folder of its own number, so a batch that runs again
     after a failure replaces its rows instead of adding to them.
     """
@@ -23,6 +26,15 @@ def verify_stream(claims: DataFrame, tables: Tables, out: str, checkpoint: str,
     return claims.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_articles(articles: DataFrame, index: PostingsIndex, checkpoint: str) -> StreamingQuery:
+    """Adds arriving articles to the index, a segment for each micro-batch; a batch that runs again replaces its segment."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        index.add(batch, f"batch_{batch_id}")
+
+    return articles.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def suppress_repeats(
     requests: DataFrame, query_col: str = "query", ts_col: str = "ts", within: str = "1 hour"
 ) -> DataFrame:
