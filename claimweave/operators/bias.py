@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
+from claimweave.functions.automata import FOUND, found_terms, lexicon_counts, members_by_list, said_of_names
 from claimweave.operators.entities import with_bias_entities
 from claimweave.operators.features import _known, ratio
 from claimweave.operators.lexical import (
     INLINE_PHRASES,
     contained,
+    count_masked,
     count_where,
     in_list,
     inline_terms,
+    phrase_masks,
     phrases_of,
     string_array,
     whole_word_occurrences,
     wide_lexicon,
     with_previous,
 )
-from claimweave.scale import contains_join, lookup_join, settle
+from claimweave.scale import contains_join, cut_lineage, lookup_join, settle
 
 TOKEN_CATEGORIES = ["left", "right", "positive", "negative", "subjective", "exaggeration", "hedging", "conspiracy"]
 MAX_NAMES = 5_000
@@ -38,10 +41,9 @@ def source_leaning(docs: DataFrame, sources: DataFrame, source_col: str = "sourc
     names = docs.select(F.coalesce(F.col(source_col), F.lit("")).alias(source_col)).distinct()
     names = names.withColumn("_name", T.normalize_source(source_col)).filter(F.col("_name") != "")
     known = sources.select("leaning", F.lower("name").alias("name"), "ord")
-    (names, name_rows), (known, known_rows) = settle(names, MAX_NAMES), settle(known, MAX_NAMES)
-    small_names, small_known = (True if r is not None else None for r in (name_rows, known_rows))
-    inside = contains_join(names, known, "_name", "name", small=small_known).select(source_col, "leaning", "ord")
-    around = contains_join(known, names, "name", "_name", small=small_names).select(source_col, "leaning", "ord")
+    names, known = settle(names, MAX_NAMES)[0], settle(known, MAX_NAMES)[0]
+    inside = contains_join(names, known, "_name", "name").select(source_col, "leaning", "ord")
+    around = contains_join(known, names, "name", "_name").select(source_col, "leaning", "ord")
     first = inside.unionByName(around).groupBy(source_col).agg(F.min_by("leaning", "ord").alias("source_leaning"))
     strength = F.lit(0.0)
     for leaning, value in fixed.SOURCE_STRENGTH.items():
@@ -61,46 +63,56 @@ def with_source_leaning(
     )
 
 
-def entity_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", title_col: str = "title",
-                     text_col: str = "text") -> DataFrame:
-    """Sentiment of every entity over the sentences that contain it."""
-    lexicon, terms = settle(lexicon.select("category", "term"))
-    cased = F.concat(T.text_of(title_col), F.lit(" "), T.text_of(text_col))
-    full = F.concat(T.normalize_ws(title_col), F.lit(" "), T.normalize_ws(text_col))
-    found = with_bias_entities(docs.select(id_col, cased.alias("_cased"), full.alias("_full")), F.col("_cased"))
+def _with_sentiments(df: DataFrame, lexicon: DataFrame, terms: list[tuple] | None, cased: str, full: str) -> DataFrame:
+    """Adds ``_sentiments``: an array of (entity, sentiment) of each row, over the sentences that contain the entity.
+
+    The entities' sentences are found in one pass over the text, and everything else is looked up by sentence number, so a row
+    costs its text and its hits and nothing leaves it.  A lexicon of more terms than a plan takes is looked up in a set in each
+    task; one too large to be settled (``terms`` None) goes through a join of the tokens, by a number given to the written rows.
+    """
+    found = with_bias_entities(df, F.col(cased))
     names = F.array_distinct(F.transform("bias_entities", lambda s: s["entity"]))
-    lowered = F.transform(names, lambda e: F.struct(e.alias("entity"), F.lower(e).alias("low")))
-    found = found.select(id_col, "_full", lowered.alias("_entities"))
+    found = found.withColumn("_names", names).drop("bias_entities")
     # no filter on the entities: it would be pushed to the scan and match every pattern a second time
-    wanted = F.when(F.size("_entities") > 0, T.sentences("_full"))
-    sents = found.select(id_col, "_entities", F.posexplode(wanted).alias("_pos", "_sentence"))
-    inside = F.filter("_entities", lambda e: F.col("_sentence").contains(e["low"]))
-    inside = F.transform(inside, lambda e: e["entity"])
-    sents = sents.select(id_col, "_pos", "_sentence", inside.alias("_entities"))
-    tokens = F.when(F.size("_entities") > 0, T.tokenize("_sentence"))
+    found = found.withColumn("_sentences", F.when(F.size("_names") > 0, T.sentences(full)).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("_said", F.transform("_sentences", lambda s: T.tokenize(s)))
     by = inline_terms(terms, ["positive", "negative"])
     if by is not None:
-        tokened = sents.select(id_col, "_entities", tokens.alias("_tokens"))
-        counted = tokened.select(
-            id_col,
-            "_entities",
-            count_where("_tokens", "t", in_list("t", by["positive"])).alias("p"),
-            count_where("_tokens", "t", in_list("t", by["negative"])).alias("n"),
-        )
+        p, n = (f"CAST(size(filter(t, w -> {in_list('w', by[c])})) AS BIGINT)" for c in ("positive", "negative"))
+        found = found.withColumn("_pn", F.expr(f"transform(_said, t -> named_struct('p', {p}, 'n', {n}))"))
+    elif terms is not None:
+        found = found.withColumn("_pn", members_by_list(F.col("_said"), *[{t for c, t in terms if c == side} for side in ("positive", "negative")]))
     else:
-        rows = sents.select(
-            id_col, "_pos", "_entities", F.explode(F.concat(F.array(F.lit("")), tokens)).alias("tok")
-        )
-        flags = wide_lexicon(lexicon, ["positive", "negative"], "tok")
-        counted = (
-            lookup_join(rows, flags, ["tok"], "left", small=_known(terms))
-            .filter((F.col("tok") == "") | F.col("positive").isNotNull())
-            .groupBy(id_col, "_pos", "_entities")
-            .agg(F.count_if("positive").alias("p"), F.count_if("negative").alias("n"))
-        )
-    per_entity = counted.select(id_col, F.explode("_entities").alias("entity"), "p", "n")
-    per_entity = per_entity.groupBy(id_col, "entity").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return per_entity.select(id_col, "entity", ratio(F.col("p") - F.col("n"), F.col("p") + F.col("n")).alias("sentiment"))
+        found = _sentence_counts_by_join(found, lexicon)
+    lowered = F.transform("_names", lambda e: F.lower(e))
+    found = found.withColumn("_held", said_of_names(F.col("_sentences"), F.col("_names"), lowered, F.col("_pn")))
+    score = F.transform("_held", lambda e: F.struct(e["name"].alias("entity"), ratio(e["p"] - e["n"], e["p"] + e["n"]).alias("sentiment")))
+    return found.withColumn("_sentiments", score).drop("_names", "_sentences", "_said", "_pn", "_held")
+
+
+def _sentence_counts_by_join(found: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds ``_pn`` by a join of the tokens with the lexicon: for lexicons of any size."""
+    found = cut_lineage(found.withColumn("_number", F.monotonically_increasing_id()))
+    rows = found.select("_number", F.posexplode("_said").alias("_pos", "_tokens")).select("_number", "_pos", F.explode("_tokens").alias("tok"))
+    hits = lookup_join(rows, wide_lexicon(lexicon, ["positive", "negative"], "tok"), ["tok"])
+    per = hits.groupBy("_number", "_pos").agg(F.count_if("positive").alias("p"), F.count_if("negative").alias("n"))
+    counted = per.groupBy("_number").agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.struct("p", "n")))).alias("_by"))
+    joined = found.join(counted, "_number", "left")
+    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
+    each = F.transform("_said", lambda t, i: F.coalesce(F.try_element_at(F.col("_by"), i), zero))
+    return joined.withColumn("_pn", each).drop("_number", "_by")
+
+
+def entity_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", title_col: str = "title",
+                     text_col: str = "text") -> DataFrame:
+    """Sentiment of every entity of a row over the sentences that contain it."""
+    lexicon, terms = settle(lexicon.select("category", "term"))
+    cased = F.concat(T.text_of(title_col), F.lit(" "), T.text_of(text_col))
+    full = F.concat(T.normalize_ws(title_col), F.lit(" "), T.normalize_ws(text_col))
+    base = docs.select(id_col, cased.alias("_cased"), full.alias("_full"))
+    found = _with_sentiments(base, lexicon, terms, "_cased", "_full")
+    # the outer form: a filter on the array's size would look for the entities a second time
+    return found.select(id_col, F.inline_outer("_sentiments")).filter(F.col("entity").isNotNull())
 
 
 def entity_bias(sentiments: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -114,6 +126,22 @@ def entity_bias(sentiments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def _spread(sentiments: Column) -> Column:
+    """``entity_bias`` of one row's array of sentiments."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        delta = x - acc["mean"]
+        mean = acc["mean"] + delta / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + delta * (x - mean)).alias("m2"))
+
+    def close(acc: Column) -> Column:
+        return F.when(acc["n"] >= 2, F.least(F.lit(1.0), 2 * F.sqrt(acc["m2"] / acc["n"]))).otherwise(F.lit(0.0))
+
+    return F.aggregate(sentiments, zero, add, close)
+
+
 def rescale_weights(weights: dict[str, float]) -> dict[str, float]:
     total = sum(weights.values())
     if abs(total - 1.0) > 0.001:
@@ -207,20 +235,39 @@ def _with_phrase_counts(base: DataFrame, lexicon: DataFrame, terms: list[tuple]
                 "_bait_body": F.size(F.filter(bait_found, lambda p: ~title.contains(p))).cast("long"),
             }
         )
+    kinds = [*PHRASE_CATEGORIES, "clickbait"]
+    if terms is not None:
+        wanted = [(c, t) for c, t in terms if c == "clickbait" or (c in PHRASE_CATEGORIES and " " in t)]
+        hits = base.withColumn("_hits", found_terms(full, phrase_masks(kinds, wanted)))
+    else:
+        hits = _phrases_by_join(base, lexicon, kinds)
+    bit = kinds.index
+    occurrences = F.aggregate(
+        F.expr(f"filter(_hits, h -> (h.mask & {1 << bit('loaded')}) != 0)"),
+        F.lit(0).cast("long"),
+        lambda acc, h: acc + whole_word_occurrences(full, h["term"]).cast("long"),
+    )
+    return hits.withColumns(
+        {f"_{c}_phrases": count_masked("_hits", bit(c)) for c in ("left", "right", "conspiracy")}
+        | {
+            "_loaded_phrases": occurrences,
+            "_bait_title": count_masked("_hits", bit("clickbait"), "contains(_title, h.term)"),
+            "_bait_body": count_masked("_hits", bit("clickbait"), "NOT contains(_title, h.term)"),
+        }
+    ).drop("_hits")
+
+
+def _phrases_by_join(base: DataFrame, lexicon: DataFrame, kinds: list[str]) -> DataFrame:
+    """Adds ``_hits`` for a lexicon too large to be settled; ``base`` is written, so its ``_row`` stays what it is."""
     multi = phrases_of(lexicon, PHRASE_CATEGORIES)
     bait = lexicon.filter(F.col("category") == "clickbait").select("category", "term").distinct()
-    found = contains_join(base.select("_row", "_title", "_full"), multi.unionByName(bait), "_full", "term", key="_row")
-    is_bait, in_title = F.col("category") == "clickbait", F.col("_title").contains(F.col("term"))
-    occurrences = whole_word_occurrences(full, F.col("term")).cast("long")
-    counts = found.groupBy("_row").agg(
-        *[F.count_if(F.col("category") == c).alias(f"_{c}_phrases") for c in ("left", "right", "conspiracy")],
-        F.sum(F.when(F.col("category") == "loaded", occurrences).otherwise(0)).alias("_loaded_phrases"),
-        F.count_if(is_bait & in_title).alias("_bait_title"),
-        F.count_if(is_bait & ~in_title).alias("_bait_body"),
-    )
-    names = [c for c in counts.columns if c != "_row"]
-    joined = base.join(counts, "_row", "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
+    bits = F.lit(0)
+    for i, c in enumerate(kinds):
+        bits = F.when(F.col("category") == c, 1 << i).otherwise(bits)
+    masks = multi.unionByName(bait).groupBy("term").agg(F.bit_or(bits).cast("int").alias("mask"))
+    found = contains_join(base.select("_row", "_full"), masks, "_full", "term")
+    lists = found.groupBy("_row").agg(F.collect_list(F.struct("term", "mask")).alias("_hits"))
+    return base.join(lists, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(FOUND)))
 
 
 def _count_inline(base: DataFrame, by: dict[str, list[str]]) -> DataFrame:
@@ -249,6 +296,17 @@ def _count_inline(base: DataFrame, by: dict[str, list[str]]) -> DataFrame:
     return found.withColumns(counts | {"_loaded": count_where("_words", "w", loaded)})
 
 
+def _count_in_sets(base: DataFrame, terms: list[tuple]) -> DataFrame:
+    """The same counts for a settled lexicon of more terms than a plan takes: looked up in each task, no token leaves its row."""
+    masks: dict[str, int] = {}
+    for c, term in terms:
+        if c in TOKEN_CATEGORIES:
+            masks[term] = masks.get(term, 0) | 1 << TOKEN_CATEGORIES.index(c)
+    loaded = {term.lower() for c, term in terms if c == "loaded"}
+    found = base.withColumn("_counts", lexicon_counts(F.col("_tokens"), T.words("_full"), TOKEN_CATEGORIES, masks, loaded))
+    return found.select("*", "_counts.*").drop("_counts")
+
+
 def _count_by_join(
     base: DataFrame, lexicon: DataFrame, small: bool | None, id_col: str, source_col: str, scalars: list[str]
 ) -> DataFrame:
@@ -314,7 +372,8 @@ def score_bias(
     """All bias components, the score and the indicators, one row per document.
 
     ``lexicon`` has (category, term), ``sources`` (leaning, name, ord).  A small lexicon
-    is counted inside the rows, a large one by a join of the exploded tokens.
+    is counted inside the rows, a large one by a join of the exploded tokens.  Terms of several words and entities are
+    found in one pass over each row's text.  The documents are read once, beside the names of their publishers.
     """
     lexicon, terms = settle(lexicon.select("category", "term"))
     small = _known(terms)
@@ -326,29 +385,32 @@ def score_bias(
         F.coalesce(F.col(source_col), F.lit("")).alias(source_col),
         title.alias("_title"),
         F.concat(title, F.lit(" "), text).alias("_full"),
+        *([F.concat(T.text_of(title_col), F.lit(" "), T.text_of(text_col)).alias("_cased")] if with_entities else []),
     )
+    if terms is None:
+        base = cut_lineage(base)  # a number given twice to rows of an unwritten input need not be the same
+    if with_entities:
+        base = _with_sentiments(base, lexicon, terms, "_cased", "_full").drop("_cased")
+        spread = {"n_entities": F.size("_sentiments").cast("long"), "entity_bias": _spread(F.col("_sentiments.sentiment"))}
+        base = base.withColumns(spread).drop("_sentiments")
+    else:
+        base = base.withColumns({"n_entities": F.lit(0).cast("long"), "entity_bias": F.lit(0.0)})
     base = base.withColumn("_tokens", T.tokenize("_full")).withColumn("n_tokens", F.size("_tokens").cast("long"))
     cited = sum((T.occurrences(F.col("_full"), p) for p in citation_patterns), F.lit(0).cast("long"))
     base = _with_phrase_counts(base.withColumn("_citations", cited), lexicon, terms, id_col)
     scalars = [
         "n_tokens", "_citations", "_left_phrases", "_right_phrases", "_conspiracy_phrases",
-        "_loaded_phrases", "_bait_title", "_bait_body",
+        "_loaded_phrases", "_bait_title", "_bait_body", "n_entities", "entity_bias",
     ]
     by = inline_terms(terms, [*TOKEN_CATEGORIES, "loaded"])
     if by is not None:
         counted = _count_inline(base, by)
+    elif terms is not None:
+        counted = _count_in_sets(base, terms)
     else:
         counted = _count_by_join(base, lexicon, small, id_col, source_col, scalars)
     leaning, leaning_rows = settle(source_leaning(docs, sources, source_col))
     counted = with_source_leaning(counted, leaning, source_col, _known(leaning_rows))
-    if with_entities:
-        spread = entity_bias(entity_sentiment(docs, lexicon, id_col, title_col, text_col), id_col)
-        counted = counted.join(spread, id_col, "left")
-        counted = counted.withColumns(
-            {"n_entities": F.coalesce("n_entities", F.lit(0)), "entity_bias": F.coalesce("entity_bias", F.lit(0.0))}
-        )
-    else:
-        counted = counted.withColumns({"n_entities": F.lit(0).cast("long"), "entity_bias": F.lit(0.0)})
     return _finish(counted, id_col, source_col, weights)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
+from claimweave.functions.automata import Shard, cut_into_shards
 from claimweave.scale import contains_join, lookup_join
 
-INLINE_PHRASES = 500
+INLINE_PHRASES = 20
 INLINE_TERMS = 1_000
 
 
@@ -46,6 +47,16 @@ def phrase_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tex
     return contains_join(texts, multi, "_text", "term").select(id_col, "category", "term")
 
 
+def phrase_masks(categories: list[str], rows: list[tuple]) -> list[Shard]:
+    """Settled (category, term) rows as shards of terms; bit i of a mask stands for category i."""
+    return cut_into_shards([(term, 1 << categories.index(c)) for c, term in rows if c in categories])
+
+
+def count_masked(hits: str, bit: int, further: str = "true") -> Column:
+    """How many of the found terms carry a bit."""
+    return F.expr(f"CAST(size(filter({hits}, h -> (h.mask & {1 << bit}) != 0 AND {further})) AS BIGINT)")
+
+
 def string_array(values: list[str]) -> Column:
     """Constant array of a fixed list; one literal that Catalyst folds, not one per value."""
     if not values:

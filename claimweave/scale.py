@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimweave.functions.automata import MAX_SHARDS, SHARD_CHARS, found_terms, term_shards
+
 BROADCAST_MAX_ROWS = 200_000
 SETTLED_MAX_ROWS = 50_000
-SALTS = 32
 HOT_ROWS = 100_000
 
 
@@ -113,55 +114,49 @@ def contains_join(
     terms: DataFrame,
     text_col: str,
     term_col: str,
-    max_terms: int = 5_000,
     gram: int = 3,
-    salts: int = SALTS,
-    small: bool | None = None,
-    key: str | None = None,
+    shard_chars: int = SHARD_CHARS,
+    max_shards: int = MAX_SHARDS,
 ) -> DataFrame:
     """Pairs of rows where the text contains the term as a substring.
 
-    Few terms (checked) are broadcast and tested in place.  Many terms go through
-    an index instead: each term is filed under its first ``gram`` characters,
-    each text under the distinct character grams it has, and only rows that meet
-    under a gram are tested.  Terms shorter than a gram stay on the broadcast
-    way, their number is bounded by the alphabet.
+    Terms of up to ``shard_chars * max_shards`` characters in all (checked) become automata: each text is read once for a shard
+    of terms, where it lies, and only its hits meet the terms again.  More terms go through an index: each term is filed under its
+    first ``gram`` characters, only (row, gram) moves, grams no term starts with are dropped first
+    where the starts are few, and each text is fetched once for its candidates and tested.
+    """
+    shards = term_shards(terms, term_col, shard_chars, max_shards)
+    if shards is None:
+        return _contains_by_gram(texts, terms, text_col, term_col, gram)
+    hits = texts.withColumn("_hit", F.explode(found_terms(F.col(text_col), shards))).withColumn("_hit", F.col("_hit.term"))
+    others = terms.filter(F.col(term_col).isNotNull()).withColumn("_hit", F.col(term_col))
+    return lookup_join(hits, others, ["_hit"]).drop("_hit")
+
+
+def _contains_by_gram(texts: DataFrame, terms: DataFrame, text_col: str, term_col: str, gram: int) -> DataFrame:
+    """``contains_join`` for terms of any number.
 
-    ``key`` names a column that tells the text rows apart.  With it only (key, gram) is exploded and
-    joined, grams no term starts with are dropped first where the starts are few, and each
-    text is fetched once for its candidates; without it the rows of ``texts`` travel with their grams.
+    The rows are written with a number first, since they are read twice.  Terms shorter than a gram are filed under themselves, and
+    the grams of their lengths are made only if there are such terms.
     """
-    hit = F.col(text_col).contains(F.col(term_col))
-    if fits_broadcast(terms, max_terms) if small is None else small:
-        return texts.join(F.broadcast(terms), hit)
-    short = terms.filter(F.length(term_col) < gram)
-    long = terms.filter(F.length(term_col) >= gram).withColumn("_gram", F.substring(term_col, 1, gram))
-    if key is not None:
-        return _contains_by_key(texts, short, long, text_col, gram, key, hit)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (gram - 1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(gram))))
-    indexed = texts.withColumn("_gram", F.explode(grams))
-    salt = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    found = (
-        indexed.withColumn("_salt", F.pmod(F.xxhash64(*texts.columns), F.lit(salts)))
-        .join(long.withColumn("_salt", F.explode(salt)), ["_gram", "_salt"])
-        .filter(hit)
-        .drop("_gram", "_salt")
-    )
-    return found.unionByName(texts.join(F.broadcast(short), hit))
-
-
-def _contains_by_key(texts: DataFrame, short: DataFrame, long: DataFrame, text_col: str, gram: int, key: str, hit: Column) -> DataFrame:
-    """``contains_join`` for terms of at least ``gram`` characters (``long``, filed under ``_gram``) and shorter ones."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (gram - 1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(gram))))
-    first = lookup_keys(long.select("_gram").distinct())
-    filed = texts.select(key, F.explode_outer(grams).alias("_gram")).join(first, "_gram", "left_semi")
-    candidates = hot_key_join(filed, long, "_gram").drop("_gram").distinct()
-    terms = F.struct(*[c for c in long.columns if c != "_gram"])
-    by_text = candidates.groupBy(key).agg(F.collect_set(terms).alias("_terms"))
-    met = texts.join(by_text, key).withColumn("_term", F.explode("_terms")).select(*texts.columns, "_term.*").filter(hit)
-    return met.unionByName(texts.join(F.broadcast(short), hit))
+    texts = cut_lineage(texts.withColumn("_key", F.monotonically_increasing_id()))
+    filed = terms.filter(F.col(term_col).isNotNull()).withColumn("_gram", F.substring(term_col, 1, gram))
+    sizes = [r[0] for r in filed.select(F.length("_gram")).distinct().collect()]
+
+    def grams(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text_col) - (n - 1)))
+        return F.transform(starts, lambda i: F.substring(F.col(text_col), i, F.lit(n)))
+
+    own = F.array_distinct(F.concat(*[grams(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    first = lookup_keys(filed.select("_gram").distinct())
+    placed = texts.select("_key", F.explode_outer(own).alias("_gram")).join(first, "_gram", "left_semi")
+    candidates = hot_key_join(placed, filed, "_gram").drop("_gram").distinct()
+    held = F.struct(*[c for c in filed.columns if c != "_gram"])
+    by_text = candidates.groupBy("_key").agg(F.collect_set(held).alias("_terms"))
+    met = texts.join(by_text, "_key").withColumn("_term", F.explode("_terms")).drop("_key", "_terms").select("*", "_term.*").drop("_term")
+    return met.filter(F.col(text_col).contains(F.col(term_col)))
 
 
 def running_totals(df: DataFrame, group: list[str], bucket: str, order: list, values: list[str]) -> DataFrame:

@@ -39,14 +39,13 @@ def test_hot_key_join(spark):
 
 def test_contains_join_index_equals_brute_force(spark):
     texts = [(1, "the cat sat on the mat"), (2, "concatenate"), (3, "a"), (4, ""), (5, "mat the mat")]
-    terms = ["cat", "the mat", "a", "at", "zzz", "mat the"]
+    terms = ["cat", "the mat", "a", "at", "zzz", "mat the", "", "mat the mat"]
     t = spark.createDataFrame(texts, "id int, text string")
     w = spark.createDataFrame([(x,) for x in terms], "term string")
     want = {(i, x) for i, text in texts for x in terms if x in text}
-    for limit in (100, 1):
-        for key in (None, "id"):
-            got = scale.contains_join(t, w, "text", "term", max_terms=limit, salts=3, key=key).select("id", "term").collect()
-            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    for chars, shards in ((100, 1), (6, 100), (1, 1)):  # one automaton, several, the index
+        got = scale.contains_join(t, w, "text", "term", shard_chars=chars, max_shards=shards).select("id", "term").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_global_rank_matches_window(spark):
