@@ -1,4 +1,8 @@
-"""SimHash near-duplicates linked through the indices of the (23, 12) Golay code."""
+"""SimHash near-duplicates linked through the indices of the (23, 12) Golay code.
+
+The query links fingerprints within two bits.  The pipeline's stage joins five-word shingles of a likeness of 0.8, through the same
+indices of several fingerprints, and verifies every link.
+"""
 
 from __future__ import annotations
 
@@ -149,11 +153,143 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(linked.unionByName(alone), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every component; of repeated rows with that id, all stay as they came."""
-    found = near_duplicates(docs)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
+#: Seeds of the mixed hashes of the stage; each gives two segments of 23 bits and two anchors.
+SEEDS = tuple(range(1, 5))
+BITS = 64 * len(SEEDS)
+#: Of the bits of two texts this share may differ before they are compared word by word (0.15 is expected at a likeness of 0.8).
+FAR = 0.25
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Further hashes of the same shingles: a finalising mix of the hash and a seed."""
+    x = hashes + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words has one, of all its words, or none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(b" ".join(words), seed=42)], np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), np.uint64, len(words) - width + 1))
+
+
+def banded(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """(keys, sketch) of a set of shingles.
+
+    The sketch is a majority fingerprint of 64 bits a seed.  Two 23-bit segments of each are decoded to the indices of
+    the codewords nearby, and an index becomes a key together with an anchor, the least or greatest shingle under that seed's hash.  Texts
+    meet under a key if they share the anchor and the segments differ by two bits (and often if by more); of 8 segments
+    one has at most two errors while they differ by 23 bits in all.  The anchor keeps strangers apart, and the index
+    keeps apart texts that only share a passage.
+    """
+    keys: list[int] = []
+    sketch: list[int] = []
+    for seed in SEEDS:
+        mixed = _mixed(hashes, seed)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), CHUNK):
+            part = mixed[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = counts * 2 > len(mixed)
+        value = np.packbits(bits, bitorder="little").view("<u8")
+        sketch.append(int(value.view(np.int64)[0]))
+        segments = np.array([int(value[0]) & 0x7FFFFF, int(value[0]) >> 23 & 0x7FFFFF], np.int64)
+        for i, (near, anchor) in enumerate(zip(nearby_indices(segments), (mixed.min(), mixed.max()), strict=True)):
+            place = np.uint64(seed * 2 + i) << np.uint64(12)
+            unique = np.unique(near).astype(np.uint64) | place
+            keys.extend(_mixed(unique ^ anchor, 99).view(np.int64).tolist())
+    return keys, sketch
+
+
+def _texts_with_keys(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch["text"]]
+            made = [banded(s) if len(s) else ([], []) for s in sets]
+            yield pd.DataFrame({"node": batch["node"], "keys": [k for k, _ in made], "sketch": [s for _, s in made], "shingles": [s.view(np.int64) for s in sets]})
+
+    return run
+
+
+def _differing(a: list[int], b: np.ndarray) -> np.ndarray:
+    """Bits in which a sketch differs from each row of sketches."""
+    return np.bitwise_count(np.array(a, np.int64).view(np.uint64)[None, :] ^ b.view(np.uint64)).sum(axis=1)
+
+
+def _led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (key, node): each node with the earlier leaders of its key it is near to; one near to none is a leader.
+
+    A leader comes out paired with itself.  Only the leaders of the present key are held.
+    """
+    now: tuple | None = None
+    leaders: list[int] = []
+    held = np.zeros((16, len(SEEDS)), np.int64)
+    for batch in batches:
+        rows: list[tuple[int, int, int]] = []
+        for key, part, node, sketch in zip(batch["key"], batch["part"], batch["node"], batch["sketch"], strict=True):
+            if (key, part) != now:
+                now, leaders = (key, part), []
+            near = np.flatnonzero(_differing(sketch, held[: len(leaders)]) <= FAR * BITS) if leaders else ()
+            rows.extend((key, leaders[i], node) for i in near)
+            if len(near) == 0:
+                if len(leaders) == len(held):
+                    held = np.concatenate([held, np.zeros_like(held)])
+                held[len(leaders)] = sketch
+                leaders.append(node)
+                rows.append((key, node, node))
+        yield pd.DataFrame(rows, columns=["key", "a", "b"])
+
+
+def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Edges (a, b), a < b, between nodes of different ``texts`` (node, text) whose shingle sets have a Jaccard likeness of ``least``.
+
+    Nodes that meet under a key follow the leaders there (nodes near to no earlier one), in parts of the key first and then
+    the leaders of all its parts, so a key of many near copies costs its rows times a few leaders and no pairs.  Every
+    edge is verified on the whole sets.
+    """
+    known = stored(texts.mapInPandas(_texts_with_keys(width), "node long, keys array<long>, sketch array<long>, shingles array<long>"))
+    keyed = known.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(keyed.join(shared, "key").join(known.select("node", "sketch"), "node"))
+    # keys of few rows are whole in one part
+    part = F.when(F.col("n") > 64, F.pmod(F.xxhash64("node"), F.least(F.lit(1 << 20), F.ceil(F.col("n") / 64)))).otherwise(F.lit(0).cast("long"))
+    schema = "key long, a long, b long"
+    first = met.select("key", part.alias("part"), "node", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    first = stored(first.mapInPandas(_led, schema))
+    split = met.filter("n > 64").select("key").distinct()
+    heads = first.filter("a = b").join(split, "key", "left_semi").select("key", F.col("a").alias("node")).join(known.select("node", "sketch"), "node")
+    second = heads.select("key", F.lit(0).cast("long").alias("part"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node").mapInPandas(_led, schema)
+    pairs = stored(first.unionByName(second).filter("a <> b").select("a", "b").distinct())
+    sets = known.select("node", "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of every group of documents that are joined by links of likeness ``least``: the one with the smallest id.
+
+    Rows go by their ids and texts together, so rows that share an id or have none stand each for itself, and of
+    equal rows one stays.  Equal texts are one group whatever their ids.  A null id sorts last, among equal ids the smaller digest stays.
+    A text without words is near to equal texts alone; a null text counts as empty.  No rows give no rows; further columns are carried.
+    """
+    text = F.coalesce("text", F.lit(""))
+    digest = F.xxhash64(text, F.md5(text))
+    slim = docs.select("doc_id", "text").withColumn("node", digest)
+    nodes = slim.groupBy("node").agg(F.min("text").alias("text"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"))
+    nodes = stored(nodes)
+    classes = components(similar_texts(nodes.select("node", "text"), width, least))
+    roots = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    kept = stored(roots.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least")).select(F.col("least.node").alias("_node"), F.col("least.first.doc_id").alias("_id")))
+    marked = docs.withColumn("_digest", digest)
+    chosen = marked.join(kept, (F.col("_digest") == F.col("_node")) & docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return chosen.dropDuplicates(["_digest"]).select(*docs.columns)
 
 
 @query("op7_simhash_golay")

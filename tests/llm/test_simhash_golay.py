@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from llm_helpers import clashing, documents, prose
+from llm_helpers import clashing, documents, first_of_groups, near_pairs, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm import simhash_golay as S
@@ -104,7 +104,7 @@ def test_documents(spark):
     assert all(r.fp & (1 << 64) - 1 == fps[r.doc_id] for r in got)
     kept = S.keep_one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted({r.doc_id for r in kept.collect()}) == sorted(set(roots(fps, near).values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first_of_groups(list(enumerate(texts))))
 
 
 def test_nulls_and_no_rows(spark):
@@ -112,3 +112,50 @@ def test_nulls_and_no_rows(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in S.near_duplicates(df).collect())
     assert got == [("4", "4"), ("None", "4"), ("None", "None")]
     assert S.near_duplicates(df.filter(F.lit(False))).count() == 0
+
+
+def edited(rng, words, times):
+    out = list(words)
+    for _ in range(times):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = [f"e{rng.randrange(9999)}"] * rng.randrange(2)
+    return out
+
+
+def test_stage_finds_near_copies_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rng = random.Random(2)
+    planted = [(10_000 + i, " ".join(edited(rng, t.split(), max(1, len(t.split()) // 60)))) for i, (_, t) in enumerate(rows[:150]) if t and len(t.split()) > 60]
+    every = [*rows, *planted]
+    texts = sorted({t or "" for _, t in every})
+    want = {(texts[a], texts[b]) for a, b in near_pairs(texts)}
+    assert len(want) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {tuple(sorted((texts[r.a], texts[r.b]))) for r in S.similar_texts(df).collect()}
+    assert got <= want
+    kept = {r.doc_id for r in S.keep_one_of_each(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    first = first_of_groups(every)
+    gone, should = {i for i, _ in every} - kept, {i for i, _ in every} - first
+    assert gone <= should and len(gone) >= 0.98 * len(should)
+
+
+def test_a_large_group_of_near_copies_keeps_one(spark):
+    rng = random.Random(6)
+    words = prose(rng, 120, 3000)
+    copies = [" ".join(edited(rng, words, 1)) for _ in range(300)]
+    others = [" ".join(prose(rng, 80, 3000)) for _ in range(40)]
+    kept = S.keep_one_of_each(documents(spark, copies + others)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(300, 340)]
+
+
+def test_stage_goes_by_id_and_text(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(prose(rng, 50, 5000)) for _ in range(3))
+    rows = [(2, a), (7, a.upper()), (7, b), (7, b), (None, c), (None, a), (None, c), (8, None), (9, ""), (5, "two words"), (6, "Two words"), (4, "other words")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = S.keep_one_of_each(df)
+    assert got.columns == df.columns
+    want = [(2, a), (7, b), (None, c), (8, None), (5, "two words"), (4, "other words")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert S.keep_one_of_each(df.limit(0)).count() == 0
