@@ -86,14 +86,14 @@ def _variants(words: DataFrame) -> DataFrame:
 
 
 def near_duplicate_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", equal_from: int | None = None
+    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", equal_from: int = 1
 ) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, edits) of every line that repeats an earlier one.
 
     Lines are compared as lower-case words: a line goes if a line earlier in (doc_id, line_no) order is
     equal to it (edits 0) or one word edit from it (edits 1).  Edits are looked for between lines of at
     least ``min_words`` words, equal lines among those of at least ``equal_from`` (1: every line with a
-    word; not given: ``min_words``, as the SQL has it).
+    word).
     ``kept`` is the earliest equal line, or the earliest line one edit away if that is
     earlier than all equal ones; with chains of edits that one may itself be gone.  Lines are counted
     from 0; a null or empty text has no line to give.  A null id sorts last.  Rows that share an id
@@ -106,7 +106,7 @@ def near_duplicate_lines(
     verified word by word.
     """
     docs = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    least = min_words if equal_from is None else min(equal_from, min_words)
+    least = min(equal_from, min_words)
     lines = _lines(docs, id_col, text_col).filter(F.size("words") >= least)
     halves = F.when(F.size("words") >= min_words, _half_keys())
     seen = stored(lines.select("doc", "line_no", F.xxhash64(F.size("words"), "words").alias("line"), halves.alias("halves")))
@@ -146,7 +146,7 @@ def near_duplicate_lines(
     ).distinct()
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents less the given lines, with n_chars counted anew; one that loses all its text goes.
 
     Documents without such a line, also null and empty ones, stay as they are.
@@ -154,7 +154,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.split("text", "\n")
     rest = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_doc"]), "left")
+    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_doc"]), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     out = joined.withColumn("_text", text).filter(F.col("_gone").isNull() | F.col("_text").rlike(r"\S"))
     changed = {"text": F.col("_text")}
@@ -164,6 +164,17 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumns(changed).select(*docs.columns)
 
 
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents less every line that repeats an earlier one, documents told apart by id and text.
+
+    Rows that share an id or have none lose their own repeated lines and no others.  Rows equal in id and text are one
+    document, so they lose the same lines.
+    """
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text", F.md5("text")).alias("digest"))
+    keyed = docs.withColumn("_at", at)
+    return drop_lines(keyed, near_duplicate_lines(keyed, id_col="_at"), "_at").select(*docs.columns)
+
+
 SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
@@ -171,15 +182,16 @@ WITH lines AS (
 cut AS (
   SELECT doc_id, line_no::INT AS line_no,
     list_filter(regexp_split_to_array(lower(line), '[\t\x0B\f\r ]+'), lambda w: w <> '') AS words FROM lines),
-long AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM cut WHERE len(words) >= {MIN_WORDS}),
+long AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM cut WHERE len(words) >= 1),
 texts AS (SELECT words, min(place) AS place, count(*) AS n FROM long GROUP BY words),
-gaps AS (SELECT words, place, unnest(range(1, len(words) + 1)) AS i FROM texts),
+edited AS (SELECT * FROM texts WHERE len(words) >= {MIN_WORDS}),
+gaps AS (SELECT words, place, unnest(range(1, len(words) + 1)) AS i FROM edited),
 less AS (SELECT words, place, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest FROM gaps),
 pairs AS (
   SELECT words, min(other) AS other FROM (
     SELECT words, place, min(place) OVER (PARTITION BY i, rest) AS other FROM less
-    UNION ALL SELECT l.words, l.place, t.place FROM less l JOIN texts t ON l.rest = t.words
-    UNION ALL SELECT t.words, t.place, l.place FROM less l JOIN texts t ON l.rest = t.words)
+    UNION ALL SELECT l.words, l.place, t.place FROM less l JOIN edited t ON l.rest = t.words
+    UNION ALL SELECT t.words, t.place, l.place FROM less l JOIN edited t ON l.rest = t.words)
   WHERE other < place GROUP BY words)
 SELECT g.doc_id, g.line_no, k.doc_id AS kept_doc_id, k.line_no AS kept_line_no, (p.other IS NOT NULL)::INT AS edits
 FROM long g JOIN texts t ON g.words = t.words LEFT JOIN pairs p ON g.words = p.words

@@ -22,7 +22,7 @@ def plain(rows):
     lines = []
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for n, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(line.lower().split()) >= L.MIN_WORDS:
+            if line.split():
                 lines.append((i, n, line.lower().split()))
     first, out = {}, {}
     for i, n, words in lines:
@@ -31,7 +31,7 @@ def plain(rows):
     near = {}
     for at, (words, _) in enumerate(order):
         for other, place in order[:at]:
-            if close(list(words), list(other)) == 1:
+            if min(len(words), len(other)) >= L.MIN_WORDS and close(list(words), list(other)) == 1:
                 near[words] = place
                 break
     for i, n, words in lines:
@@ -121,7 +121,8 @@ def test_equal_short_lines(spark):
     got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no, r.edits) for r in gone.collect()}
     assert got == {(1, 0): (0, 0, 0), (2, 0): (1, 1, 0), (2, 1): (0, 0, 0), (2, 3): (0, 1, 1), (3, 0): (0, 0, 0)}
     assert {r.doc_id: r.text for r in L.drop_lines(df, gone).collect()} == {0: texts[0], 1: "a b c d", 2: "a b c e"}
-    assert found(df) == {(2, 3): (0, 1, 1)}
+    long = L.near_duplicate_lines(df, equal_from=L.MIN_WORDS).collect()
+    assert [(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no) for r in long] == [(2, 3, 0, 1)]
 
 
 def test_stage_cuts_equal_short_lines(spark):
@@ -131,6 +132,16 @@ def test_stage_cuts_equal_short_lines(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {0: "les.\none two", 1: "three"}
 
 
+def test_rows_that_share_an_id_or_have_none_lose_their_own_lines_alone(spark):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f\nkept one"), (7, "p q r s t u\nkept two"), (None, "a b c d e f"), (None, "unique words that no one else has")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = L.without_repeated_lines(df)
+    assert got.columns == df.columns
+    want = [(1, "a b c d e f"), (7, "kept one"), (7, "p q r s t u\nkept two"), (None, "unique words that no one else has")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert L.without_repeated_lines(df.limit(0)).count() == 0
+
+
 def test_sql(spark):
     from compare import compare, database
 
