@@ -24,6 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 SUMMED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The characters of one part of a token; what follows them decides for every start among them.
+JWT_PART = re.compile(r"[A-Za-z0-9_-]+")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Runs of at least 24 hexadecimal digits; a shorter one is never looked at twice.
 HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
@@ -89,9 +91,15 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> list[tuple[int, int,
         elif kind in ("github", "npm") and (m := SUMMED.match(text, start)):
             past[kind] = m.end()
             found = checksum_holds(m[1], m[2])
-        elif kind == "jwt" and (m := JWT.match(text, start)):
-            past[kind] = m.end()
-            found = header_holds(m[1])
+        elif kind == "jwt":
+            end = JWT_PART.match(text, start).end()
+            if not text.startswith(".eyJ", end):
+                past[kind] = end  # no start before the end of these characters can do better
+            elif m := JWT.match(text, start):
+                past[kind] = m.end()
+                found = header_holds(m[1])
+            else:
+                past[kind] = end
         elif kind == "pem" and (m := PEM.match(text, start)):
             past[kind] = m.end()
             found = key_holds(m[2])

@@ -74,3 +74,13 @@ def test_rows(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
     ids = df.sparkSession.createDataFrame([(None, "token=abcdef")], "doc_id long, text string")
     assert S.find_secrets(ids).first().doc_id is None
+
+
+def test_many_beginnings_of_a_token_are_linear():
+    import time
+
+    words = S.automaton()
+    for text in ("eyJ" * 350_000, "eyJ" * 150_000 + ".eyJ" + "x" * 100, ("eyJa.eyJb " * 60_000), "eyJ." * 200_000):
+        began = time.time()
+        assert S.scan(text, words) == []
+        assert time.time() - began < 8
