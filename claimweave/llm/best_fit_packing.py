@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,11 @@ SALTS = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Fixed value: the blanks of the expression's \\s.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONGEST_BLANKS = 1_000
+
+
 def byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a printable letter; the rest take letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,6 +51,26 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encoded(encoder: tiktoken.Encoding, text: str, longest: int = LONGEST_BLANKS) -> list[int]:
+    """The ids of a text; runs of more than ``longest`` blanks are cut out first, since the expression can't take them whole.
+
+    Before a further character the expression leaves the last blank of a run to it and takes the others as one piece; at the end of
+    the text, and before a special token, it takes the whole run.  The cuts are at these places, so the ids are the same.
+    """
+    ids: list[int] = []
+    at = 0
+    special = tuple(encoder.special_tokens_set)
+    for run in re.finditer(f"{BLANK}{{{longest + 1},}}", text):
+        start, end = run.span()
+        if end < len(text) and not (special and text.startswith(special, end)):
+            end -= 1
+        ids.extend(encoder.encode(text[at:start], allowed_special="all"))
+        ids.extend(encoder._encode_single_piece(text[start:end]))
+        at = end
+    ids.extend(encoder.encode(text[at:], allowed_special="all"))
+    return ids
+
+
 def pieces_of(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of one document; only the first may be shorter than the capacity."""
     first = len(ids) % capacity or min(len(ids), capacity)
@@ -64,7 +90,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
         for batch in batches:
             out = []
             for row, text in zip(batch["_i"], batch["_t"], strict=True):
-                ids = [*encoder.encode(text or "", allowed_special="all"), 0]
+                ids = [*encoded(encoder, text or ""), 0]
                 packed = np.array(ids, "<u4").tobytes()
                 for n, (start, length) in enumerate(pieces_of(ids, capacity)):
                     out.append((row, n, start, length, zlib.crc32(packed[4 * start : 4 * (start + length)])))

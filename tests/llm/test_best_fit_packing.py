@@ -122,3 +122,15 @@ def test_given_documents(spark, reference):
     rows = B.op10_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     hold(rows, texts, reference)
+
+
+def test_long_runs_of_blanks_have_the_ids_of_the_library():
+
+    ours, theirs = B.tokenizer(B.vocabulary()), Tokenizer.from_file(B.vocabulary())
+    run = " " * 3_000
+    texts = [run, run + "word", "word" + run, "a" + run + "b" + run + "\n", "x\n" * 2 + "\t" * 2_000 + "y", run + "\u3000", "\x1c" * 1_500 + "z", run + "1", run + ".", "\u2003" * 1_200 + "w"]
+    texts += [run + token for token in sorted(ours.special_tokens_set)[:2]]
+    for text in texts:
+        assert B.encoded(ours, text) == theirs.encode(text, add_special_tokens=False).ids
+    many = B.encoded(ours, " " * 1_000_000)
+    assert len(many) == len(theirs.encode(" " * 1_000_000, add_special_tokens=False).ids)

@@ -1,11 +1,10 @@
 import random
 
 import corpus_pipeline
-from llm_helpers import documents, prose
+from llm_helpers import documents, first_of_groups, prose
 from pyspark.sql import functions as F
 
 from claimweave.llm.decontamination import contaminated, drop_contaminated
-from claimweave.llm.simhash_golay import near_duplicates
 from claimweave.llm.toxicity import drop_toxic, scores, train
 
 
@@ -76,8 +75,8 @@ def test_stages_keep_what_their_operators_say(spark):
     labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
     assert ids(stages["toxicity"](spark, docs, sf)) == every - ids(scores(docs, train(docs, labels)).filter("predicted = 1"))
     assert ids(stages["decontamination"](spark, docs, sf)) == every - ids(contaminated(docs, items))
-    groups = near_duplicates(docs).collect()
-    assert ids(stages["near_duplicates"](spark, docs, sf)) == {r.component_id for r in groups}
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    assert ids(stages["near_duplicates"](spark, docs, sf)) == first_of_groups(texts)
 
 
 def test_rows_that_share_an_id_or_have_none_go_by_their_texts(spark, tmp_path):
