@@ -141,6 +141,23 @@ def fill_articles(spark, sf_dir):
     return out.select("article_id", F.md5("full_text").alias("full_text"), F.md5("text").alias("text"))
 
 
+@query(
+    "suppress_repeats",
+    """WITH RECURSIVE ev AS (SELECT DISTINCT user_id % 50 AS k, ts FROM events),
+    answered AS (
+      SELECT k, min(ts) AS ts FROM ev GROUP BY k
+      UNION ALL
+      SELECT a.k, min(e.ts) FROM answered a JOIN ev e ON e.k = a.k AND e.ts >= a.ts + INTERVAL 6 HOUR GROUP BY a.k)
+    SELECT 'query_user_' || k AS query_key, epoch_us(ts)::BIGINT AS at FROM answered""",
+)
+def suppress_repeats(spark, sf_dir):
+    """Requests of users in fifty groups, a group answered again after six hours."""
+    text = F.concat(F.lit("User "), F.pmod("user_id", F.lit(50)).cast("string"))
+    requests = table(spark, sf_dir, "events").select(text.alias("query"), "ts")
+    out = jobs.suppress_repeats(requests, within="6 hours")
+    return out.select("query_key", F.unix_micros("ts").alias("at"))
+
+
 @query(
     "rate_flags",
     """SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS window_start, count(*) AS n_requests, count(*) > 2 AS over_limit

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.operators.features import ratio
-from claimweave.scale import running_totals
+from claimweave.scale import cut_lineage, lookup_join, running_totals
 
+ROC_BUCKETS = 128
 METRICS = ["accuracy", "precision", "recall", "f1"]
 
 
@@ -82,13 +83,18 @@ def roc_curve(preds: DataFrame, model_col: str = "model") -> DataFrame:
     """One point per distinct threshold: (model, threshold, tpr, fpr) and the counts behind it.
 
     Equal probabilities are merged before the shuffle.  The running sums go over
-    buckets of the log odds, so no model is sorted in one task.
+    buckets between quantiles of each model's own thresholds, so no model is sorted in one task however close its scores lie.
     """
     points = preds.groupBy(model_col, F.col("prob").alias("threshold")).agg(
         F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg")
     )
-    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("threshold")))
-    points = points.withColumn("_bucket", -F.floor(F.log(p / (1 - p)) * 64))
+    points = cut_lineage(points)
+    quantiles = [i / ROC_BUCKETS for i in range(1, ROC_BUCKETS)]
+    cuts = points.groupBy(model_col).agg(F.percentile_approx("threshold", quantiles, 10 * ROC_BUCKETS).alias("_cuts"))
+    # a row for each model
+    points = lookup_join(points, cuts, [model_col], "left")
+    above = F.size(F.filter("_cuts", lambda c: c > F.col("threshold")))
+    points = points.withColumn("_bucket", F.coalesce(above, F.lit(0))).drop("_cuts")
     out = running_totals(points, [model_col], "_bucket", [F.desc("threshold")], ["pos", "neg"])
     return out.select(
         model_col,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as fixed
 from claimweave.functions import text as T
-from claimweave.scale import global_rank
+from claimweave.scale import global_rank, lookup_join
+
+FEW_ROWS = 2_000
 
 
 def _mapped(values: dict[str, float], key: Column) -> Column:
@@ -92,7 +94,8 @@ def oversample_minority(
     """Repeats minority rows, drawn with replacement, up to the size of the other class.
 
     The class sizes are one row of counts; the draws are a range split over the cluster and
-    meet the numbered minority rows in an equi-join.
+    meet the numbered minority rows in an equi-join.  A minority of few rows, each of which is drawn often, is sent to the draws; of
+    a larger one the numbers that are drawn most are spread.
     """
     spark = df.sparkSession
     sizes = class_balance(df, label_col).head()
@@ -108,7 +111,7 @@ def oversample_minority(
     drawn = F.conv(F.substring(keyed_digest(seed, F.lit("draw"), F.col("copy_no")), 1, 12), 16, 10).cast("long")
     draws = spark.range(need).withColumnRenamed("id", "copy_no")
     draws = draws.withColumn("_index", F.pmod(drawn, F.lit(n_minority)))
-    copies = draws.join(numbered, "_index").drop("_index").withColumn("oversampled", F.lit(True))
+    copies = lookup_join(draws, numbered, ["_index"], small=n_minority <= FEW_ROWS).drop("_index").withColumn("oversampled", F.lit(True))
     for c in vector_cols or []:
         if noise:
             copies = _with_noise(copies, c, noise, seed)

@@ -19,6 +19,7 @@ from claimweave.operators.evidence import rank_evidence, relevant_only
 from claimweave.operators.features import fill_nan, linguistic_features
 from claimweave.operators.sampling import augment_minority, oversample_minority, standardize_labels, stratified_split
 from claimweave.operators.tfidf import document_frequency, grams, idf, tfidf_transform
+from claimweave.scale import cut_lineage
 from claimweave.sources.corpora import preprocess_corpus
 from claimweave.sources.store import write_feature_store
 
@@ -34,8 +35,11 @@ class TrainingSet:
 
 
 def build_training_set(corpus: DataFrame, lexicon: DataFrame, path: str | None = None, seed: int = 42, **limits) -> TrainingSet:
-    """Clean, featurise, label, split, balance and vectorise a corpus; optionally write the store."""
-    rows = stratified_split(standardize_labels(preprocess_corpus(corpus)), seed=seed)
+    """Clean, featurise, label, split, balance and vectorise a corpus; optionally write the store.
+
+    The split rows are written once and every part is made from them, so ids and splits are the same in all parts.
+    """
+    rows = cut_lineage(stratified_split(standardize_labels(preprocess_corpus(cut_lineage(corpus))), seed=seed))
     keep = ["split", "binary_label"]
     features = linguistic_features(rows, lexicon, keep=keep).select("id", *fixed.FEATURE_COLUMNS, *keep)
     train = rows.filter(F.col("split") == "train")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimweave.functions import text as T
 from claimweave.plans.verify import Tables, verify_claims
@@ -35,16 +39,62 @@ def index_articles(articles: DataFrame, index: PostingsIndex, checkpoint: str) -
     return articles.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _answered(times: list[int], last: int | None, span: int) -> tuple[list[int], int | None]:
+    """Places of the requests that are answered, given sorted times and the last answered one."""
+    out = []
+    for i, t in enumerate(times):
+        if last is None or t - last >= span:
+            out.append(i)
+            last = t
+    return out, last
+
+
 def suppress_repeats(
-    requests: DataFrame, query_col: str = "query", ts_col: str = "ts", within: str = "1 hour"
+    requests: DataFrame, query_col: str = "query", ts_col: str = "ts", within: str = "1 hour", lateness: str = "10 minutes"
 ) -> DataFrame:
-    """The first request of each query key within the time span.
+    """The requests that are answered anew: the first of each query key, and then the first one a full ``within`` after the last answered.
 
-    A key is forgotten when the watermark, which trails the newest request of any key by the
-    same span, has passed its end; until then further repeats stay suppressed.
+    A request exactly one time span later is answered again.  In a stream the time of the last answer is the state of a key; it is dropped
+    when the watermark, ``lateness`` behind the newest request, has passed the end of its span.  Requests behind the watermark
+    are left out.  Requests of a key within one micro-batch go in order of time; equal times give one answer.
+    In a batch the distinct times of each key are folded in order, and of equal rows one is answered.
     """
-    keyed = requests.withColumn("query_key", T.cache_key("query_", query_col))
-    return keyed.withWatermark(ts_col, within).dropDuplicatesWithinWatermark(["query_key"])
+    keyed = requests.withColumn("query_key", T.cache_key("query_", query_col)).withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    span = int(pd.Timedelta(within).total_seconds() * 1_000_000)
+    if not requests.isStreaming:
+        return _suppress_in_batch(keyed, ts_col, span)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(ts_col, kind="stable")
+        # the filter of the engine lags by a batch: a request behind the watermark may find its key forgotten
+        rows = rows[rows[ts_col].astype("datetime64[us]").astype("int64") >= state.getCurrentWatermarkMs() * 1000]
+        times = rows[ts_col].astype("datetime64[us]").astype("int64").tolist()
+        places, last = _answered(times, state.get[0] if state.exists else None, span)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        if places:
+            yield rows.iloc[places]
+
+    watched = keyed.withWatermark(ts_col, lateness)
+    timeout = GroupStateTimeout.EventTimeTimeout
+    return watched.groupBy("query_key").applyInPandasWithState(step, keyed.schema, "last long", "append", timeout)
+
+
+def _suppress_in_batch(keyed: DataFrame, ts_col: str, span: int) -> DataFrame:
+    times = keyed.filter(F.col(ts_col).isNotNull()).groupBy("query_key").agg(F.array_sort(F.collect_set(F.unix_micros(ts_col))).alias("_times"))
+    empty = F.array().cast("array<bigint>")
+
+    def add(kept: Column, t: Column) -> Column:
+        return F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= span), F.array_append(kept, t)).otherwise(kept)
+
+    chosen = times.select("query_key", F.explode(F.aggregate("_times", empty, add)).alias("_at"))
+    first = Window.partitionBy("query_key", ts_col).orderBy(*[c for c in keyed.columns if c not in ("query_key", ts_col)])
+    ranked = keyed.withColumn("_at", F.unix_micros(ts_col)).join(chosen, ["query_key", "_at"]).withColumn("_n", F.row_number().over(first))
+    return ranked.filter("_n = 1").select(*keyed.columns)
 
 
 def rate_flags(

@@ -32,6 +32,27 @@ def test_suppress_repeats(spark, tmp_path):
     assert [h for k, h in seen if k == "query_solar_power"] == [10, 14]
 
 
+def test_repeats_at_the_edge_of_the_hour_and_late_ones(spark, tmp_path):
+    path = str(tmp_path / "in")
+    batches = [
+        [("a", "10:00:00"), ("b", "10:00:00"), ("c", "10:00:00")],
+        [("a", "10:59:00"), ("b", "11:00:00"), ("c", "11:01:00"), ("c", "11:00:30")],  # unsorted: the earlier one is answered
+        [("a", "11:00:00"), ("b", "11:59:59"), ("d", "11:55:00"), ("d", "11:55:00")],
+        [("late", "11:30:00"), ("a", "12:05:00")],  # ten minutes behind the newest: left out
+        [("a", "13:05:00"), ("b", "13:06:00")],
+    ]
+    for i, rows in enumerate(batches):
+        write(spark, [(q, f"2024-01-01 {t}") for q, t in rows], "query string, ts string", path, i)
+    live = run(jobs.suppress_repeats(stream(spark, "query string, ts timestamp", path)), tmp_path, "out")
+    seen = sorted((r["query"], str(r["ts"])[11:]) for r in live.collect())
+    want = [("a", "10:00:00"), ("a", "11:00:00"), ("a", "12:05:00"), ("a", "13:05:00"), ("b", "10:00:00"), ("b", "11:00:00"), ("b", "13:06:00"),
+            ("c", "10:00:00"), ("c", "11:00:30"), ("d", "11:55:00")]
+    assert seen == want
+    rows = [(q, f"2024-01-01 {t}") for batch in batches for q, t in batch if q != "late"]
+    batch = jobs.suppress_repeats(spark.createDataFrame(rows, "query string, ts string"))
+    assert sorted((r["query"], str(r["ts"])[11:]) for r in batch.collect()) == want
+
+
 def test_dedup_article_stream_keeps_rows_without_url(spark, tmp_path):
     path = str(tmp_path / "in")
     rows = [(1, "u"), (2, "u"), (3, ""), (4, "")]
