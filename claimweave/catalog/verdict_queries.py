@@ -12,6 +12,7 @@ from claimweave.catalog.bias_queries import CITED, ENTITIES_CTE, SCORES_CTE, SEN
 from claimweave.catalog.evidence_queries import (
     CANDIDATES_CTE, CAPPED_CTE, CHECKING, EVIDENCE_CTE, QUERY_CTE, _checked, _evidence, _scored, facts_ctes, scored_ctes,
 )
+from claimweave.catalog.knowledge_queries import KG_CTE, MATCH_CTE, RESOLVED_CTE, TYPED_CTE, VERIFIED_CTE, knowledge_tables
 from claimweave.catalog.lexicon_queries import LEANING_CTE
 from claimweave.functions import fixed_values as fixed
 from claimweave.operators import evidence as E
@@ -305,3 +306,97 @@ claims AS (SELECT * FROM all_titles WHERE claim <> '' AND length(claim) <= 1000)
 def verify_articles(spark, sf_dir):
     out = P.verify_articles(articles(spark, sf_dir), tables(spark, sf_dir), "fast")
     return rounded(out.select("article_id", "n_articles", "verification_score", "bias_score", "verdict", "trust_score", "reject_reason"))
+
+
+# --- everything on: knowledge tables, stored answers, claims that are turned away ---------------------------
+NAMING_CTE = """
+asked AS (
+  SELECT item_id AS claim_id, CASE item_id % 20 WHEN 7 THEN '  ' WHEN 11 THEN repeat('long ', 250) ELSE
+      text || ' and ' || s_name || ' of ' || CASE WHEN item_id % 3 = 0 THEN n_name ELSE substr(n_name, 1, 1) || lower(substr(n_name, 2)) END END AS claim,
+    'www.src' || (item_id % 20) || '.com' AS source
+  FROM benchmark JOIN supplier ON s_suppkey = item_id % (SELECT max(s_suppkey) FROM supplier) + 1 JOIN nation ON s_nationkey = n_nationkey),
+claims AS (SELECT claim_id, trim(claim) AS claim, source FROM asked WHERE trim(claim) <> '' AND length(trim(claim)) <= 1000)
+"""
+
+
+def _renamed(cte: str) -> str:
+    """The knowledge CTEs beside those of the evidence, which have facts of their own."""
+    return cte.replace("facts AS (", "kg_facts AS (").replace("FROM facts f", "FROM kg_facts f")
+
+
+FULL_SQL = (
+    pipeline(NAMING_CTE, 8)
+    + ", "
+    + ", ".join(
+        c.strip()
+        for c in (
+            TYPED_CTE.replace(TYPED_CTE.split("\n")[1], "texts AS (SELECT claim_id AS doc_id, claim AS x FROM claims),"),
+            """flat AS (
+              SELECT doc_id AS claim_id, list(entity ORDER BY o) AS e FROM (SELECT doc_id, entity, min(ord * 1000000 + pos) AS o FROM entity_rows GROUP BY doc_id, entity)
+              GROUP BY doc_id),
+            entity_pairs AS (
+              SELECT claim_id, (pair * 2 + rel) AS attempt, e[i] AS subject, e[j] AS object, ['related to', 'involves'][rel + 1] AS predicate FROM (
+                SELECT claim_id, e, unnest([0, 1, 2]) AS pair, unnest([1, 1, 2]) AS i, unnest([2, 3, 3]) AS j FROM flat WHERE len(e) >= 3
+                UNION ALL SELECT claim_id, e, 0, 1, 2 FROM flat WHERE len(e) = 2), (SELECT unnest([0, 1]) AS rel))""",
+            KG_CTE.replace("requests AS (", "other_requests AS ("),
+            "requests AS (SELECT DISTINCT subject, predicate, object FROM entity_pairs)",
+            RESOLVED_CTE,
+            _renamed(MATCH_CTE),
+            _renamed(VERIFIED_CTE),
+            """kg AS (
+              SELECT claim_id, min_by(confidence, attempt)::DOUBLE AS kg_score, min_by(subject || ' ' || predicate || ' ' || object, attempt) AS kg_fact
+              FROM entity_pairs JOIN verified USING (subject, predicate, object) WHERE confidence > 0 GROUP BY claim_id)""",
+            ANSWERS_CTE.replace("source, text, doc_id", "source, doc_id"),
+        )
+    )
+    + f""",
+full0 AS (
+  SELECT r.claim_id, n_articles, n_evidence, b, coalesce(kg_score, 0) AS kg_score, kg_fact,
+    CASE WHEN kg_score > 0 THEN 0.7::DOUBLE * kg_score + 0.3::DOUBLE * r.v ELSE r.v END AS v FROM r LEFT JOIN kg USING (claim_id)),
+full1 AS (SELECT *, v * (1 - b * 0.3::DOUBLE) AS adj FROM full0),
+real_articles AS (SELECT claim_id, count(article_id) AS n FROM capped GROUP BY claim_id),
+full2 AS (
+  SELECT f.*, CASE WHEN p.claim_id IS NOT NULL THEN p.verdict ELSE {RULED} END AS verdict, CASE WHEN p.claim_id IS NOT NULL THEN p.trust_score ELSE adj END AS trust_score,
+    CASE WHEN p.claim_id IS NOT NULL THEN 'response' ELSE 'rule' END AS decided_by,
+    CASE WHEN p.claim_id IS NULL THEN {WHY}
+      WHEN f.claim_id % 6 = 2 THEN 'Could not determine veracity of claim: ''' || c.claim || '''. The LLM response could not be properly parsed.'
+      ELSE p.decision_explanation END AS decision_explanation
+  FROM full1 f JOIN claims c USING (claim_id) LEFT JOIN (SELECT * FROM parsed WHERE claim_id % 4 = 1) p ON p.claim_id = f.claim_id)
+SELECT a.claim_id, CASE WHEN trim(a.claim) = '' THEN 'empty' WHEN length(trim(a.claim)) > 1000 THEN 'too long' END AS reject_reason,
+  n_articles, n_evidence, round(kg_score, 6) AS kg_score, kg_fact, kg_score > 0 AS kg_verification, round(v, 6) AS verification_score, round(b, 6) AS bias_score,
+  verdict, round(trust_score, 6) AS trust_score, decided_by, decision_explanation,
+  CASE WHEN f.claim_id IS NULL THEN NULL WHEN n > 0 THEN 'complete' ELSE 'placeholder' END AS retrieval_status,
+  CASE WHEN f.claim_id IS NOT NULL THEN 'complete' END AS check_status, CASE WHEN f.claim_id IS NOT NULL THEN 'complete' END AS bias_status,
+  CASE WHEN f.claim_id IS NOT NULL THEN 'complete' END AS decision_status
+FROM asked a LEFT JOIN full2 f ON f.claim_id = a.claim_id LEFT JOIN real_articles q ON q.claim_id = a.claim_id"""
+)
+
+
+def naming_claims(spark, sf_dir):
+    """The claims, each naming a supplier and its nation (every third in capitals); some blank, some too long."""
+    suppliers = table(spark, sf_dir, "supplier")
+    last = suppliers.agg(F.max("s_suppkey")).first()[0]
+    named = suppliers.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+    n = F.col("item_id")
+    nation = F.when(F.pmod(n, F.lit(3)) == 0, F.col("n_name")).otherwise(F.concat(F.substring("n_name", 1, 1), F.lower(F.expr("substr(n_name, 2)"))))
+    turn = F.pmod(n, F.lit(20))
+    text = F.when(turn == 7, "  ").when(turn == 11, F.repeat(F.lit("long "), 250)).otherwise(F.concat("text", F.lit(" and "), "s_name", F.lit(" of "), nation))
+    source = F.concat(F.lit("www.src"), turn, F.lit(".com"))
+    rows = table(spark, sf_dir, "benchmark").withColumn("s_suppkey", F.pmod(n, F.lit(last)) + 1).join(named, "s_suppkey")
+    return rows.select(n.alias("claim_id"), text.alias("claim"), source.alias("source"))
+
+
+@query("verify_claims_with_everything", FULL_SQL)
+def verify_claims_with_everything(spark, sf_dir):
+    """The whole pipeline with knowledge about suppliers and customers, stored answers for every fourth claim, and claims that are turned away."""
+    _, entities, attributes, triples = knowledge_tables(spark, sf_dir)
+    given = tables(spark, sf_dir)
+    given.entities, given.attributes, given.triples = entities, attributes, triples
+    given.responses = answers(spark, sf_dir).filter(F.pmod("claim_id", F.lit(4)) == 1).select("claim_id", "response")
+    out = P.verify_claims(naming_claims(spark, sf_dir), given, "balanced")
+    return rounded(
+        out.select(
+            "claim_id", "reject_reason", "n_articles", "n_evidence", "kg_score", "kg_fact", "kg_verification", "verification_score", "bias_score", "verdict", "trust_score",
+            "decided_by", "decision_explanation", "retrieval_status", "check_status", "bias_status", "decision_status",
+        )
+    )
