@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimweave.catalog.base import (
@@ -10,6 +12,7 @@ from claimweave.catalog.base import (
 from claimweave.catalog.text_queries import sql_source
 from claimweave.functions import fixed_values as fixed
 from claimweave.operators import bias, lexical
+from claimweave.scale import shared_folder
 from claimweave.sources import lexicons
 
 TOKENS_CTE = f"doc_tokens AS (SELECT doc_id, unnest({sql_tokens('text')}) AS tok FROM documents)"
@@ -149,3 +152,25 @@ leaning AS (
 def source_leaning(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("www."), "source", F.lit(".com")).alias("source"))
     return bias.source_leaning(docs, planted_sources(spark, sf_dir))
+
+
+POLARITIES = ["positive", "negative", "both", "neutral"]
+
+
+@query(
+    "read_mpqa",
+    f"""WITH ws AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark),
+    clues AS (SELECT w, {strings(POLARITIES)}[('0x' || substr(md5(w), 2, 1))::INT % 4 + 1] AS p FROM ws)
+    SELECT 'subjective' AS category, w AS term FROM clues
+    UNION SELECT 'positive', w FROM clues WHERE p IN ('positive', 'both') UNION SELECT 'negative', w FROM clues WHERE p IN ('negative', 'both')""",
+)
+def read_mpqa(spark, sf_dir):
+    """Every word of the test items as a clue line, with notes and blank lines between, written and read."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w")).distinct()
+    digest = F.md5(F.lower("w"))
+    polarity = F.get(F.array(*[F.lit(p) for p in POLARITIES]), F.pmod(F.conv(F.substring(digest, 2, 1), 16, 10).cast("int"), F.lit(4)))
+    kind = F.when(F.substring(digest, 1, 1) < "8", "strongsubj").otherwise("weaksubj")
+    clue = F.concat(F.lit("type="), kind, F.lit(" len=1 word1="), "w", F.lit(" pos1=anypos stemmed1=n priorpolarity="), polarity)
+    folder = f"{shared_folder(spark)}/clues-{uuid.uuid4().hex}"
+    words.select(F.explode(F.array(clue, F.lit("# a note"), F.lit(""))).alias("value")).write.text(folder)
+    return lexicons.read_mpqa(spark, folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from claimweave.catalog.base import (
@@ -19,8 +21,9 @@ from claimweave.operators import evidence as E
 from claimweave.operators import verdict as V
 from claimweave.plans import verify as P
 from claimweave.plans.training import claim_texts
-from claimweave.scale import cut_lineage
+from claimweave.scale import cut_lineage, shared_folder
 from claimweave.sources.store import render_reports
+from claimweave.sources.store import write_verifications as store_verifications
 
 # scores between 0 and 1 of every document, by digest
 SCORES = "('0x' || substr(md5('{0}' || doc_id), 1, 3))::INT / 4095.0::DOUBLE"
@@ -295,17 +298,68 @@ claims AS (SELECT * FROM all_titles WHERE claim <> '' AND length(claim) <= 1000)
 """
 
 
+ARTICLE_BIAS = with_ctes(
+    ARTICLES_CTE, LEXICON_CTE, SOURCES_CTE,
+    f"""bias_docs AS MATERIALIZED (
+      SELECT article_id AS doc_id, title, text, source, lower({sql_spaces('title')}) AS ctitle, lower({sql_spaces('title')}) || ' ' || lower({sql_spaces('text')}) AS full_text FROM articles)""",
+    ENTITIES_CTE, SENTIMENT_CTE, LEANING_CTE, SCORES_CTE.replace(CITED, CITED_DEFAULT),
+) + " SELECT doc_id, bias_score, bias_indicators FROM indicated"
+
+
 @query(
     "verify_articles",
     pipeline(TITLES_CTE, 5)
     + f""" SELECT a.claim_id AS article_id, n_articles, round(v, 6) AS verification_score, round(b, 6) AS bias_score, CASE WHEN r.claim_id IS NOT NULL THEN {RULED} END AS verdict,
-      round(adj, 6) AS trust_score, CASE WHEN claim = '' THEN 'empty' WHEN length(claim) > 1000 THEN 'too long' END AS reject_reason
-    FROM all_titles a LEFT JOIN r ON r.claim_id = a.claim_id
-    WHERE a.claim_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S'))""",
+      round(adj, 6) AS trust_score, CASE WHEN a.claim = '' THEN 'empty' WHEN length(a.claim) > 1000 THEN 'too long' END AS reject_reason,
+      round(w.bias_score, 6) AS article_bias_score, w.bias_indicators AS article_indicators,
+      md5(CASE WHEN length(d.text) > 500 THEN substr(d.text, 1, 500) || '...' ELSE d.text END) AS article_text
+    FROM all_titles a LEFT JOIN r ON r.claim_id = a.claim_id JOIN documents d ON d.doc_id = a.claim_id LEFT JOIN ({ARTICLE_BIAS}) w ON w.doc_id = a.claim_id
+    WHERE regexp_matches(d.text, '\\S')""",
 )
 def verify_articles(spark, sf_dir):
     out = P.verify_articles(articles(spark, sf_dir), tables(spark, sf_dir), "fast")
-    return rounded(out.select("article_id", "n_articles", "verification_score", "bias_score", "verdict", "trust_score", "reject_reason"))
+    out = out.withColumns({"article_indicators": F.array_join("article_indicators", "; "), "article_text": F.md5("article_text")})
+    return rounded(
+        out.select(
+            "article_id", "n_articles", "verification_score", "bias_score", "verdict", "trust_score", "reject_reason", "article_bias_score", "article_indicators", "article_text"
+        )
+    )
+
+
+@query(
+    "write_verifications",
+    with_ctes(DOC_SCORES)
+    + f""" SELECT doc_id AS claim_id, md5(text) AS claim, round(v, 6) AS verification_score, round(b, 6) AS bias_score, {RULED} AS verdict, round(adj, 6) AS trust_score,
+      {WHY} AS explanation, CASE doc_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' ELSE 'accurate' END AS mode, doc_id % 3 <> 0 AS knowledge_graph_enabled,
+      '2024-02-' || lpad((doc_id % 20 + 1)::VARCHAR, 2, '0') AS dt, doc_id % 4 AS n_evidence FROM r WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0""",
+)
+def write_verifications(spark, sf_dir):
+    """Every document with both scores as a verification, written as nested records by day and read back."""
+    scored = document_scores(spark, sf_dir).filter("verification_score IS NOT NULL AND bias_score IS NOT NULL")
+    decided = V.final_result(V.rule_verdict(scored)).withColumnsRenamed({"doc_id": "claim_id", "text": "claim"})
+    turn, n = F.pmod("claim_id", F.lit(3)), F.pmod("claim_id", F.lit(4)).cast("int")
+    match = F.struct(F.lit(1).alias("rank"), F.lit("a title").alias("title"), F.lit(0.5).alias("relevance"))
+    day = F.concat(F.lit("2024-02-"), F.lpad((F.pmod("claim_id", F.lit(20)) + 1).cast("string"), 2, "0"), F.lit(" 10:00:00"))
+    verified = decided.withColumns(
+        {
+            "source": F.lit("s"), "matches": F.array_repeat(match, n), "explanation": F.lit("why"), "kg_verification": F.lit(False),
+            "political_leaning": F.lit("center"), "bias_indicators": F.array(F.lit("x")), "checked_at": day.cast("timestamp"),
+            "mode": F.when(turn == 0, "fast").when(turn == 1, "balanced").otherwise("accurate"), "use_kg": turn != 0,
+        }
+    )
+    folder = f"{shared_folder(spark)}/verifications-{uuid.uuid4().hex}"
+    store_verifications(verified, folder)
+    schema = (
+        "claim_id long, claim string, evidence array<struct<rank: int>>, fact_check_results struct<verification_score: double>, bias_analysis struct<bias_score: double>, "
+        "decision struct<verdict: string, trust_score: double, explanation: string>, configuration struct<mode: string, knowledge_graph_enabled: boolean>, dt string"
+    )
+    back = spark.read.schema(schema).json(folder)
+    return rounded(
+        back.select(
+            "claim_id", F.md5("claim").alias("claim"), "fact_check_results.verification_score", "bias_analysis.bias_score", "decision.verdict", "decision.trust_score",
+            "decision.explanation", "configuration.mode", "configuration.knowledge_graph_enabled", "dt", F.size("evidence").cast("long").alias("n_evidence"),
+        )
+    )
 
 
 # --- everything on: knowledge tables, stored answers, claims that are turned away ---------------------------
