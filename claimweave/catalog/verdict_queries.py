@@ -28,11 +28,11 @@ from claimweave.sources.store import write_verifications as store_verifications
 # scores between 0 and 1 of every document, by digest
 SCORES = "('0x' || substr(md5('{0}' || doc_id), 1, 3))::INT / 4095.0::DOUBLE"
 RULED = """CASE WHEN adj >= 0.75 THEN 'true' WHEN adj >= 0.55 THEN 'mostly true' WHEN adj >= 0.35 THEN 'partially true' WHEN adj >= 0.15 THEN 'mostly false' ELSE 'false' END"""
-WHY = """CASE WHEN v >= 0.7 AND b <= 0.3 THEN 'The claim appears to be accurate based on factual evidence. Multiple sources confirm key aspects of the claim.'
-  WHEN v >= 0.7 THEN 'While factually supported, the claim shows significant bias in presentation.'
-  WHEN v >= 0.4 THEN 'The claim contains some accurate elements but may be missing context or includes some inaccuracies.'
-  ELSE 'The claim is contradicted by available evidence or lacks sufficient supporting evidence.' END ||
-  CASE WHEN b >= 0.7 THEN ' The claim exhibits strong bias in its presentation.' WHEN b >= 0.4 THEN ' The claim shows moderate bias in its framing.' ELSE '' END"""
+WHY = f"""CASE WHEN v >= 0.7 AND b <= 0.3 THEN '{fixed.RULE_SUPPORTED}'
+  WHEN v >= 0.7 THEN '{fixed.RULE_SUPPORTED_BIASED}'
+  WHEN v >= 0.4 THEN '{fixed.RULE_MIXED}'
+  ELSE '{fixed.RULE_CONTRADICTED}' END ||
+  CASE WHEN b >= 0.7 THEN '{fixed.RULE_STRONG_BIAS}' WHEN b >= 0.4 THEN '{fixed.RULE_MODERATE_BIAS}' ELSE '' END"""
 DOC_SCORES = f"""
 s AS (SELECT doc_id, text, CASE WHEN doc_id % 17 = 0 THEN 0.5 ELSE {SCORES.format('v')} END AS v, CASE WHEN doc_id % 19 = 0 THEN 0.5 ELSE {SCORES.format('b')} END AS b FROM documents),
 r AS (SELECT *, v * (1 - b * 0.3::DOUBLE) AS adj FROM s)

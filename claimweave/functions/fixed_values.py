@@ -232,3 +232,61 @@ couldn't, didn, didn't, doesn, doesn't, hadn, hadn't, hasn, hasn't, haven, haven
 mightn't, mustn, mustn't, needn, needn't, shan, shan't, shouldn, shouldn't, wasn, wasn't, weren, weren't, won,
 won't, wouldn, wouldn't
 """)
+
+# --- fixed values: verdicts, factors and sentences of a decision -------------------------------
+VERDICTS = ["TRUE", "MOSTLY TRUE", "PARTIALLY TRUE", "UNVERIFIED", "MOSTLY FALSE", "FALSE"]
+RULE_FACTORS = ["Fact verification results", "Source credibility analysis", "Bias detection"]
+TEXT_FACTORS = ["Based on evidence analysis", "Source credibility", "Fact-checking results"]
+ERROR_FACTORS = ["Insufficient evidence", "Processing error"]
+RULE_SUPPORTED = "The claim appears to be accurate based on factual evidence. Multiple sources confirm key aspects of the claim."
+RULE_SUPPORTED_BIASED = "While factually supported, the claim shows significant bias in presentation."
+RULE_MIXED = "The claim contains some accurate elements but may be missing context or includes some inaccuracies."
+RULE_CONTRADICTED = "The claim is contradicted by available evidence or lacks sufficient supporting evidence."
+RULE_STRONG_BIAS = " The claim exhibits strong bias in its presentation."
+RULE_MODERATE_BIAS = " The claim shows moderate bias in its framing."
+
+# --- fixed values: the prompt; names in angle brackets are filled in ---------------------------
+PROMPT_EXCERPT = """ARTICLE <rank>:
+Title: <title>
+Source: <source>
+Excerpt: <excerpt>
+
+"""
+PROMPT = """# CLAIM VERIFICATION TASK
+
+Please analyze the following claim and all available evidence to determine its veracity.
+
+## CLAIM:
+"<claim>"
+Source: <source>
+
+## EVIDENCE ARTICLES:
+<articles>
+
+## FACT-CHECKING RESULTS:
+Verification Score: <score> (0-1 scale, higher means more likely to be true)
+Explanation: <explanation>
+
+## BIAS ANALYSIS:
+Bias Score: <bias> (0-1 scale, higher means more biased)
+Bias Indicators:
+<indicators>
+
+## YOUR TASK:
+Based on all the information above, provide a comprehensive assessment of the claim's veracity. Include:
+
+1. VERDICT: Choose one of [TRUE, MOSTLY TRUE, PARTIALLY TRUE, UNVERIFIED, MOSTLY FALSE, FALSE]
+2. TRUST_SCORE: A numerical score between 0 and 1 indicating confidence in the claim's truthfulness
+3. EXPLANATION: A detailed explanation of your reasoning
+4. CONTRIBUTING_FACTORS: Key factors that influenced your decision
+
+Format your response in JSON as follows:
+```json
+{
+  "verdict": "VERDICT",
+  "trust_score": SCORE,
+  "explanation": "Your detailed explanation here",
+  "contributing_factors": ["Factor 1", "Factor 2", "Factor 3"]
+}
+
+Ensure your assessment is balanced, unbiased, and based strictly on the evidence provided."""
