@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from claimweave.llm.common import components, query, stored, table
+from claimweave.llm.common import components, query, small_side, stored, table
 
 #: The generator polynomial of the binary Golay code and its length.
 GENERATOR, LENGTH = 0xC75, 23
@@ -207,12 +207,19 @@ def banded(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return keys, sketch
 
 
-def _texts_with_keys(width: int):
+def _keys_of_texts(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"]]
-            made = [banded(s) if len(s) else ([], []) for s in sets]
-            yield pd.DataFrame({"node": batch["node"], "keys": [k for k, _ in made], "sketch": [s for _, s in made], "shingles": [s.view(np.int64) for s in sets]})
+            made = [banded(s) if len(s) else ([], []) for s in (shingle_set(t, width) for t in batch["text"])]
+            yield pd.DataFrame({"node": batch["node"], "keys": [k for k, _ in made], "sketch": [s for _, s in made]})
+
+    return run
+
+
+def _sets_of_texts(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, width).view(np.int64) for t in batch["text"]]})
 
     return run
 
@@ -251,9 +258,10 @@ def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataF
 
     Nodes that meet under a key follow the leaders there (nodes near to no earlier one), in parts of the key first and then
     the leaders of all its parts, so a key of many near copies costs its rows times a few leaders and no pairs.  Every
-    edge is verified on the whole sets.
+    edge is verified on the whole sets, which are made for the nodes that have a candidate alone.  Equal nodes may come repeated.
     """
-    known = stored(texts.mapInPandas(_texts_with_keys(width), "node long, keys array<long>, sketch array<long>, shingles array<long>"))
+    known = texts.mapInPandas(_keys_of_texts(width), "node long, keys array<long>, sketch array<long>")
+    known = stored(known.dropDuplicates(["node"]))
     keyed = known.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(keyed.join(shared, "key").join(known.select("node", "sketch"), "node"))
@@ -266,7 +274,9 @@ def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataF
     heads = first.filter("a = b").join(split, "key", "left_semi").select("key", F.col("a").alias("node")).join(known.select("node", "sketch"), "node")
     second = heads.select("key", F.lit(0).cast("long").alias("part"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node").mapInPandas(_led, schema)
     pairs = stored(first.unionByName(second).filter("a <> b").select("a", "b").distinct())
-    sets = known.select("node", "shingles")
+    wanted = small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sets = texts.join(wanted, "node", "left_semi").mapInPandas(_sets_of_texts(width), "node long, shingles array<long>")
+    sets = stored(sets.dropDuplicates(["node"]))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -281,15 +291,17 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     """
     text = F.coalesce("text", F.lit(""))
     digest = F.xxhash64(text, F.md5(text))
-    slim = docs.select("doc_id", "text").withColumn("node", digest)
-    nodes = slim.groupBy("node").agg(F.min("text").alias("text"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"))
-    nodes = stored(nodes)
-    classes = components(similar_texts(nodes.select("node", "text"), width, least))
-    roots = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    kept = stored(roots.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least")).select(F.col("least.node").alias("_node"), F.col("least.first.doc_id").alias("_id")))
     marked = docs.withColumn("_digest", digest)
+    rows = marked.groupBy(F.col("_digest").alias("node"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")).alias("first")))
+    classes = components(similar_texts(marked.select(F.col("_digest").alias("node"), "text"), width, least))
+    roots = nodes.join(classes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    kept = roots.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least"))
+    kept = stored(kept.select(F.col("least.node").alias("_node"), F.col("least.first.doc_id").alias("_id"), F.col("least.first.n").alias("_n")))
     chosen = marked.join(kept, (F.col("_digest") == F.col("_node")) & docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return chosen.dropDuplicates(["_digest"]).select(*docs.columns)
+    if not kept.filter("_n > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["_digest"])
+    return chosen.select(*docs.columns)
 
 
 @query("op7_simhash_golay")
