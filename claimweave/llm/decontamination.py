@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -113,8 +113,10 @@ def contaminated(
     start = F.greatest(F.col("low") - slack, F.lit(0))
     region = F.struct("item", (start + 1).alias("first"), (F.col("high") + F.col("n") + slack - start).alias("size"))
     by_doc = stored(near.groupBy("doc").agg(F.collect_list(region).alias("regions")))
-    found = small_side(by_doc.withColumnRenamed("doc", "_doc"))
-    read = docs.join(found, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "regions", words_of(F.col("text")).alias("w"))
+    # only the ids go to the scan, and only while they are few; the lists of regions meet the texts that are left
+    found = by_doc.withColumnRenamed("doc", "_doc")
+    held = docs.join(small_side(found.select("_doc")), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+    read = held.join(found, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "regions", words_of(F.col("text")).alias("w"))
     cut = F.transform("regions", lambda r: F.struct(r["item"].alias("item"), F.array_join(F.slice("w", r["first"], r["size"]), " ").alias("region")))
     regions = read.select("doc", F.explode(F.array_distinct(cut)).alias("r")).select("doc", "r.item", "r.region").filter("region <> ''")
     regions = regions.repartition("doc", "region").join(small_side(given), "item").select("doc", "item_id", "item_text", "region")
