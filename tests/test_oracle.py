@@ -15,7 +15,8 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 CORE = [
     "clean_markup", "preprocess_text", "tokenize", "lexicon_hits", "categorize_terms", "linguistic_features", "score_bias",
     "entity_sentiment", "dedup_articles", "verify_claims", "typed_entities", "verify_triples", "parse_responses", "stratified_split",
-    "tfidf", "training_chain", "check_facts_given_scores", "cap_evidence_by_row", "bias_lexicon", "auc", "normalize_newsapi", "extract_article_text", "rate_flags",
+    "tfidf", "training_chain", "check_facts_given_scores", "cap_evidence_by_row", "bias_lexicon", "auc", "normalize_newsapi", "extract_article_text", "rate_flags", "suppress_repeats",
+    "read_mpqa", "write_verifications",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else CORE
 
