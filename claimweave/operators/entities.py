@@ -23,8 +23,11 @@ def _bounded(pattern: str) -> str:
 
 
 def capitalized_entities(c: Column | str, stopwords: list[str] = fixed.STOPWORDS) -> Column:
-    """Runs of capitalised words longer than two characters that are no stopword."""
-    runs = T.find_all(T.text_of(c), "(?=[A-Z])" + T.NO_WORD_BEFORE + r"[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*")
+    """Runs of capitalised words longer than two characters that are no stopword.
+
+    The repeats are possessive: Java matches a greedy group once a stack frame, and a run of some thousand words overflows it.
+    """
+    runs = T.find_all(T.text_of(c), "(?=[A-Z])" + T.NO_WORD_BEFORE + r"[A-Z][a-z]*+(?:\s++[A-Z][a-z]*+)*+")
     return F.filter(runs, lambda e: (F.length(e) > 2) & ~F.lower(e).isin(stopwords))
 
 
