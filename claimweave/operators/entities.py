@@ -72,7 +72,7 @@ def typed_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             T.find_all(text, _bounded(p), group) for kind, p, group in fixed.ENTITY_PATTERNS if kind == etype
         ]
         out = out.withColumn(etype, F.filter(F.concat(*found), usable))
-    phrases = T.find_all(text, _bounded(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"))
+    phrases = T.find_all(text, _bounded(r"[A-Z][a-z]++(?:\s++[A-Z][a-z]++" + T.NO_WORD_AFTER + ")++"))
     inner = F.flatten(
         F.transform(F.split(text, r"\."), lambda s: F.slice(T.words(s), F.lit(2), F.greatest(F.size(T.words(s)), F.lit(1))))
     )
