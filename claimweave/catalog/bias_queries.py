@@ -212,7 +212,8 @@ for _name, _columns in VIEWS.items():
 def bias_entity_counts(spark, sf_dir):
     full = F.concat("title", F.lit(" "), "text")
     docs = bias_docs(spark, sf_dir).select("doc_id", full.alias("cased"))
-    rows = with_bias_entities(docs, F.col("cased")).select("doc_id", F.inline("bias_entities"))
+    # the outer form: a filter on the array's size would be pushed to the scan with all patterns and capitals in it, several times over
+    rows = with_bias_entities(docs, F.col("cased")).select("doc_id", F.inline_outer("bias_entities")).filter(F.col("entity").isNotNull())
     return rows.groupBy("doc_id", "etype", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 

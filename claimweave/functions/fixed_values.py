@@ -105,7 +105,8 @@ BIAS_ENTITY_PATTERNS = {
     "PERSON": r"[A-Z][a-z]+ (?:[A-Z][a-z]+ )?[A-Z][a-z]+",
     "ORG": r"[A-Z][A-Za-z]+ (?:Company|Corporation|Inc\.?|Ltd\.?|LLC|University|College|Association|Foundation)",
     "GPE": r"United States|U\.S\.|United Kingdom|U\.K\.|Russia|China|Germany|France|[A-Z][a-z]+ (?:City|County|State)",
-    "OTHER": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+",
+    # possessive, so that a run of any length takes no stack; each word ends at a boundary, as no shorter one may be tried later
+    "OTHER": r"[A-Z][a-z]++(?: [A-Z][a-z]++(?![\p{L}\p{N}_]))++",
 }
 
 # --- fixed values: training lexicon (smaller than the bias lexicon) ---------------

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as fixed
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
+#: The same matches without a stack frame for each part of a word; only Java reads possessive repeats.
+TOKEN_IN_JAVA = r"[\p{L}\p{N}_]++(?:[-'][\p{L}\p{N}_]++)*+|[^\s\p{L}\p{N}_]"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
@@ -29,11 +31,11 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
 
 def tokenize(c: Column | str) -> Column:
     """Lower-cased tokens: words with inner hyphens or apostrophes, and single marks."""
-    return find_all(F.lower(text_of(c)), TOKEN_PATTERN)
+    return find_all(F.lower(text_of(c)), TOKEN_IN_JAVA)
 
 
 def tokenize_cased(c: Column | str) -> Column:
-    return find_all(text_of(c), TOKEN_PATTERN)
+    return find_all(text_of(c), TOKEN_IN_JAVA)
 
 
 def sentences(c: Column | str) -> Column:
