@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import partial
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +31,72 @@ def term_frequency(docs: DataFrame, sizes: dict[int, int], id_col: str, text_col
     """The most common n-grams of content words per document.
 
     ``sizes`` maps n to how many are kept; ties go to the gram seen first.  The words of a document move
-    once, to the partition of its id, and are cut into grams, counted and ranked there: no gram is shuffled.
+    once, to the partition of its id, and are counted there one id at a time: no gram is a row before it is among the most
+    common, so nothing but the words is shuffled or spilled.  Rows that share an id, null included, are counted together.
     """
-    prepared = docs.select(id_col, content_words(text_col).alias("_words")).repartition(id_col)
-    grams = F.array(
-        *[F.struct(F.lit(n).alias("n"), T.ngrams(F.col("_words"), n).alias("grams")) for n in sorted(sizes)]
-    )
-    rows = prepared.select(id_col, F.inline(grams)).select(id_col, "n", F.posexplode("grams").alias("pos", "term"))
-    counts = rows.groupBy(id_col, "n", "term").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first_pos"))
-    ranked = Window.partitionBy(id_col, "n").orderBy(F.desc("freq"), F.asc("first_pos"))
-    top = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= max(sizes.values()))
-    keep = F.lit(False)
-    for n, k in sizes.items():
-        keep = keep | ((F.col("n") == n) & (F.col("rank") <= k))
-    return top.filter(keep)
+    words = F.array_join(content_words(text_col), " ").alias("_words")  # no word has a space
+    prepared = docs.select(id_col, words).repartition(id_col).sortWithinPartitions(id_col)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return prepared.mapInArrow(partial(_most_common, sizes), f"`{id_col}` {kind}, n int, term string, freq long, first_pos int, rank int")
+
+
+def _grams_of(words: list[str], n: int) -> Iterable[str]:
+    return words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def _most_common(sizes: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, words) in order of id: the most common grams of each id, with their counts and first places."""
+    names = ("n", "term", "freq", "first_pos", "rank")
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+
+    def top(texts: list[list[str]]) -> Iterator[tuple]:
+        for n, k in sorted(sizes.items()):
+            counts: Counter[str] = Counter()
+            for words in texts:
+                counts.update(_grams_of(words, n))
+            if len(texts) == 1:
+                # a counter keeps the order of first sight, and so do the most common among equals
+                best = counts.most_common(k)
+                at = _first_places(texts[0], n, {t for t, _ in best})
+            else:
+                at = {}
+                for words in texts:
+                    for t, i in _first_places(words, n, None).items():
+                        at[t] = min(i, at.get(t, i))
+                best = nsmallest(k, counts.items(), key=lambda x: (-x[1], at[x[0]]))
+            yield from ((n, t, freq, at[t], rank) for rank, (t, freq) in enumerate(best, 1))
+
+    def table(held: list[tuple]) -> pa.RecordBatch:
+        ids = pa.array([i for i, _ in held], id_type)
+        rows = list(zip(*(r for _, r in held), strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], [id_name, *names])
+
+    id_name, id_type, now, texts, started, held = "", None, None, [], False, []
+    for batch in batches:
+        id_name, id_type = batch.schema.names[0], batch.schema.types[0]
+        for i, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if started and i != now:
+                held.extend((now, r) for r in top(texts))
+                texts = []
+            now, started = i, True
+            texts.append(words.split(" ") if words else [])
+        if len(held) > 10_000:
+            yield table(held)
+            held = []
+    if started:
+        held.extend((now, r) for r in top(texts))
+        yield table(held)
+
+
+def _first_places(words: list[str], n: int, wanted: set[str] | None) -> dict[str, int]:
+    """The first place of the wanted grams, or of all."""
+    at: dict[str, int] = {}
+    for i, gram in enumerate(_grams_of(words, n)):
+        if gram not in at and (wanted is None or gram in wanted):
+            at[gram] = i
+            if wanted is not None and len(at) == len(wanted):
+                break
+    return at
 
 
 def key_terms(claims: DataFrame, id_col: str = "claim_id", text_col: str = "claim") -> DataFrame:
