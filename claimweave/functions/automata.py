@@ -59,7 +59,9 @@ def _automaton(terms: Iterable[str]) -> ahocorasick.Automaton:
 def _finder(shard: Shard):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = _automaton(shard)
-        always = [("", shard[""])] if "" in shard else []
+        # one object a term, however many texts of a batch have it
+        known = {t: {"term": t, "mask": m} for t, m in shard.items()}
+        always = [known[""]] if "" in shard else []
         for batch in texts:
             out = []
             for text in batch:
@@ -67,8 +69,8 @@ def _finder(shard: Shard):
                     out.append([])
                     continue
                 hits = {term for _, term in made.iter(text)} if len(made) else ()
-                out.append([*always, *((t, shard[t]) for t in sorted(hits))])
-            yield pd.Series([[{"term": t, "mask": m} for t, m in row] for row in out], dtype=object)
+                out.append([*always, *(known[t] for t in sorted(hits))])
+            yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, FOUND)
 
@@ -151,7 +153,8 @@ def lexicon_counts(tokens: Column, words: Column, categories: list[str], masks:
 
     A token counts once for each of its categories.  Further counts: pairs of neighbours that are a left or right term,
     positive or negative tokens after an exaggerating one, subjective tokens that are not the first, and words that are
-    ``loaded``.  A set look-up a token; no row leaves its place.
+    ``loaded``.  A set look-up a token; no row leaves its place.  Neither tokens nor words hold a space, so each row crosses to Python
+    as two texts, and only the row in hand is a list: a batch of lists of words takes some twenty times its text.
     """
     bit = {c: 1 << i for i, c in enumerate(categories)}
     left, right, strong = bit["left"], bit["right"], bit["exaggeration"]
@@ -163,7 +166,7 @@ def lexicon_counts(tokens: Column, words: Column, categories: list[str], masks:
     def count(row, plain) -> list[int]:
         n = dict.fromkeys(names, 0)
         before = None
-        for token in [] if row is None else row:
+        for token in row.split(" ") if row else []:
             mask = masks.get(token, 0)
             if mask:
                 for c, b in bit.items():
@@ -179,11 +182,11 @@ def lexicon_counts(tokens: Column, words: Column, categories: list[str], masks:
                 n["left_pairs"] += bool(both & left)
                 n["right_pairs"] += bool(both & right)
             before = token
-        n["loaded"] = sum(w in loaded for w in ([] if plain is None else plain))
+        n["loaded"] = sum(w in loaded for w in plain.split(" ")) if plain else 0
         return list(n.values())
 
     def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch in columns:
             yield pd.DataFrame([count(t, w) for t, w in zip(*batch, strict=True)], columns=[prefix + c for c in names], dtype="int64")
 
-    return F.pandas_udf(run, ", ".join(f"{prefix}{c} long" for c in names))(tokens, words)
+    return F.pandas_udf(run, ", ".join(f"{prefix}{c} long" for c in names))(F.array_join(tokens, " "), F.array_join(words, " "))

@@ -1,4 +1,4 @@
-"""Runs of some ten thousand words match like short ones; Java matches a greedy group once a stack frame."""
+"""Long runs of words match like short ones (Java matches a greedy group once a stack frame), and long texts cross to Python as texts."""
 
 import random
 
@@ -61,3 +61,20 @@ def test_short_runs_match_as_the_greedy_patterns(spark):
     plain = df.select(T.find_all(F.col("x"), _bounded(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+")).alias("p"))
     for got, gone, want in zip(other.collect(), taken.collect(), plain.collect(), strict=True):
         assert got["e"] == [p for p in dict.fromkeys(want["p"]) if p not in gone["e"]]
+
+
+def test_lexicon_counts_take_texts_and_no_lists(spark):
+    """A batch of lists of words takes many times its text in Python; empty rows and odd spaces count as before."""
+    from claimweave.functions import text as T
+    from claimweave.functions.automata import lexicon_counts
+
+    terms = {"good": 4, "very": 32, "left one": 1}
+    names = ["left", "right", "positive", "negative", "subjective", "exaggeration"]
+    df = spark.createDataFrame([(1, "very good left one"), (2, ""), (3, "sly fox sly\tfox"), (4, None)], "id int, x string")
+    out = df.select("id", lexicon_counts(T.tokenize("x"), T.words("x"), names, terms, {"fox", "sly fox"}).alias("c"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 2
+    got = {r["id"]: r["c"].asDict() for r in out.collect()}
+    assert got[1] == {"_left": 0, "_right": 0, "_positive": 1, "_negative": 0, "_subjective": 0, "_exaggeration": 1, "_left_pairs": 1, "_right_pairs": 0,
+                      "_more_positive": 1, "_more_negative": 0, "_more_subjective": 0, "_loaded": 0}
+    assert got[3]["_loaded"] == 2 and not any(got[2].values()) and not any(got[4].values())
