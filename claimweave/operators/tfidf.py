@@ -32,6 +32,12 @@ def grams(c: Column | str) -> Column:
     return F.filter(found, lambda w: F.length(w) >= 2)
 
 
+def with_bigrams(words: Column) -> Column:
+    """The words, then each joined with the next one; no list is made for a pair."""
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    return F.concat(words, F.array_compact(F.zip_with(words, after, lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
 def document_frequency(
     docs: DataFrame,
     text_col: str = "text",
@@ -47,8 +53,7 @@ def document_frequency(
     """
     n_docs = docs.count()
     prepared = docs.select(grams(text_col).alias("_words"))
-    all_grams = F.concat("_words", T.ngrams(F.col("_words"), 2))
-    prepared = prepared.select(all_grams.alias("_grams"))
+    prepared = prepared.select(with_bigrams(F.col("_words")).alias("_grams"))
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     rows = F.concat(
         F.transform("_grams", lambda g: F.struct(g.alias("term"), one.alias("tf"), zero.alias("df"))),
@@ -75,7 +80,7 @@ def tfidf_transform(docs: DataFrame, vocabulary: DataFrame, id_col: str = "id",
     vocab = F.broadcast(vocab) if fits_broadcast(vocab) else vocab
     prepared = docs.select(id_col, grams(text_col).alias("_words"))
     # outer: an inner explode gets a filter on the array's size, for which the grams are made twice
-    rows = prepared.select(id_col, F.explode_outer(F.concat("_words", T.ngrams(F.col("_words"), 2))).alias("term"))
+    rows = prepared.select(id_col, F.explode_outer(with_bigrams(F.col("_words"))).alias("term"))
     known = rows.join(vocab, "term").repartition(id_col)
     weights = known.groupBy(id_col, "term").agg((F.count(F.lit(1)) * F.first("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
