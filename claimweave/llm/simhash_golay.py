@@ -1,18 +1,19 @@
 """SimHash near-duplicates linked through the indices of the (23, 12) Golay code.
 
 The query links fingerprints within two bits.  The pipeline's stage joins five-word shingles of a likeness of 0.8, through the same
-indices of several fingerprints, and verifies every link.
+indices of several fingerprints and, for what these leave out, through the rarest shingles of each text, and verifies every link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -156,6 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Seeds of the mixed hashes of the stage; each gives two segments of 23 bits and two anchors.
 SEEDS = tuple(range(1, 5))
 BITS = 64 * len(SEEDS)
+#: Longs of parity bits a text; texts of which one in so many is counted to find shingles that many share; shingles so ordered.
+MARKS, ORDER_FROM, ORDERED = 8, 16, 1 << 18
+#: Texts of one part of a crowded key that meet all texts of the key.
+SIDE = 1024
 #: Of the bits of two texts this share may differ before they are compared word by word (0.15 is expected at a likeness of 0.8).
 FAR = 0.25
 
@@ -207,11 +212,51 @@ def banded(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return keys, sketch
 
 
-def _keys_of_texts(width: int):
+def rare_first(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The sorted hashes with those of ``common`` (most frequent first) put last, the least frequent of them first."""
+    if len(common) == 0:
+        return hashes
+    order = np.argsort(common)
+    at = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
+    place = order[at]
+    known = common[place] == hashes
+    return np.concatenate([hashes[~known], common[np.sort(place[known])[::-1]]])
+
+
+def prefix_length(size: int, least: float) -> int:
+    """So many first shingles of two sets, in one order of all shingles, have one in common if their likeness is ``least``."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
+
+def parities(hashes: np.ndarray, longs: int = MARKS) -> np.ndarray:
+    """For each of 64 * longs buckets, whether it holds an odd number of the hashes: two sets differ in as many elements at least as these bits."""
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").astype(np.int64)
+
+
+def differing_at_least(a: np.ndarray, b: np.ndarray) -> int:
+    """Differing parities of two sets, the longer (both a power of two) folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count((np.bitwise_xor.reduce(a.reshape(-1, len(b))) ^ b).view(np.uint64)).sum())
+
+
+def _keys_of_texts(width: int, least: float, common: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [banded(s) if len(s) else ([], []) for s in (shingle_set(t, width) for t in batch["text"])]
-            yield pd.DataFrame({"node": batch["node"], "keys": [k for k, _ in made], "sketch": [s for _, s in made]})
+            sets = [(node, s) for node, s in zip(batch["node"], (shingle_set(t, width) for t in batch["text"]), strict=True) if len(s)]
+            made = [banded(s) for _, s in sets]
+            yield pd.DataFrame(
+                {
+                    "node": np.array([node for node, _ in sets], np.int64),
+                    "same": np.array([xxh64_intdigest(s.tobytes()) for _, s in sets], np.uint64).view(np.int64),
+                    "size": np.array([len(s) for _, s in sets], np.int64),
+                    "rare": [rare_first(s, common)[: prefix_length(len(s), least)].view(np.int64) for _, s in sets],
+                    "marks": [parities(s) for _, s in sets],
+                    "keys": [k for k, _ in made],
+                    "sketch": [s for _, s in made],
+                }
+            )
 
     return run
 
@@ -224,6 +269,31 @@ def _sets_of_texts(width: int):
     return run
 
 
+def _parities_of_texts(width: int):
+    """Four buckets a shingle or more, so that few pairs just below the bound are left for the whole sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch["text"]]
+            bits = [parities(s, 1 << (len(s) // 16).bit_length()).astype("<i8").tobytes() for s in sets]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(s) for s in sets], "bits": bits})
+
+    return run
+
+
+def _within(least: float):
+    """Keeps the pairs whose sizes and parities do not rule out a likeness of ``least``."""
+    most = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total = batch["size_a"] + batch["size_b"]
+            apart = [differing_at_least(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for a, b in zip(batch["bits_a"], batch["bits_b"], strict=True)]
+            yield batch.loc[np.array(apart, np.int64) <= most * total.to_numpy() + 1e-9, ["a", "b"]]
+
+    return run
+
+
 def _differing(a: list[int], b: np.ndarray) -> np.ndarray:
     """Bits in which a sketch differs from each row of sketches."""
     return np.bitwise_count(np.array(a, np.int64).view(np.uint64)[None, :] ^ b.view(np.uint64)).sum(axis=1)
@@ -253,15 +323,24 @@ def _led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "a", "b"])
 
 
-def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Edges (a, b), a < b, between nodes of different ``texts`` (node, text) whose shingle sets have a Jaccard likeness of ``least``.
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that many texts share, most frequent first, counted over one text in ORDER_FROM.
+
+    They only say which shingles come last in the order of all, which changes the work and no result.
+    """
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(ORDER_FROM)) == 0).groupBy("node").agg(F.first("text").alias("text"))
+    found = some.mapInPandas(_sets_of_texts(width), "node long, shingles array<long>").select(F.explode("shingles").alias("shingle"))
+    counts = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(ORDERED).select("shingle").toPandas()
+    return rows["shingle"].to_numpy(np.int64).view(np.uint64)
 
-    Nodes that meet under a key follow the leaders there (nodes near to no earlier one), in parts of the key first and then
-    the leaders of all its parts, so a key of many near copies costs its rows times a few leaders and no pairs.  Every
-    edge is verified on the whole sets, which are made for the nodes that have a candidate alone.  Equal nodes may come repeated.
+
+def _led_pairs(known: DataFrame) -> DataFrame:
+    """Candidates (a, b): nodes that meet under a Golay key follow the leaders there (nodes near to no earlier one).
+
+    They do so in parts of the key first and then over the leaders of all its parts, so a key of many near copies costs
+    its rows times a few leaders and no pairs.
     """
-    known = texts.mapInPandas(_keys_of_texts(width), "node long, keys array<long>, sketch array<long>")
-    known = stored(known.dropDuplicates(["node"]))
     keyed = known.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stored(keyed.join(shared, "key").join(known.select("node", "sketch"), "node"))
@@ -273,13 +352,96 @@ def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataF
     split = met.filter("n > 64").select("key").distinct()
     heads = first.filter("a = b").join(split, "key", "left_semi").select("key", F.col("a").alias("node")).join(known.select("node", "sketch"), "node")
     second = heads.select("key", F.lit(0).cast("long").alias("part"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node").mapInPandas(_led, schema)
-    pairs = stored(first.unionByName(second).filter("a <> b").select("a", "b").distinct())
-    wanted = small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    sets = texts.join(wanted, "node", "left_semi").mapInPandas(_sets_of_texts(width), "node long, shingles array<long>")
-    sets = stored(sets.dropDuplicates(["node"]))
+    return first.unionByName(second).filter("a <> b").select("a", "b")
+
+
+def _sizes_alike(least: float) -> Column:
+    """False only for rows (size, other_size) whose sizes rule out a likeness of ``least``."""
+    return F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-9
+
+
+def _marks_alike(least: float) -> Column:
+    """False only for rows (size, marks, other_size, other_marks) whose parities rule out a likeness of ``least``."""
+    bits = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("other_marks")[i])) for i in range(MARKS))
+    return bits <= (1 - least) / (1 + least) * (F.col("size") + F.col("other_size")) + 1e-9
+
+
+def _others(met: DataFrame) -> DataFrame:
+    return met.withColumnsRenamed({"node": "other", "size": "other_size", "marks": "other_marks", "root": "other_root"})
+
+
+def _pairs_of(joined: DataFrame, least: float) -> DataFrame:
+    alike = _sizes_alike(least) & _marks_alike(least) if "marks" in joined.columns else _sizes_alike(least)
+    return joined.filter(alike).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def _across(crowd: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) of crowded keys that ``edges`` do not connect yet.
+
+    Under each key the nodes outside the largest component there meet all nodes, dealt out in parts of SIDE of them.
+    """
+    roots = components(edges)
+    met = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = stored(met)
+    sizes = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    spans = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    spans = stored(spans.select("key", F.col("most.root").alias("large"), F.ceil((F.col("n") - F.col("most.n")) / SIDE).alias("parts")))
+    outside = met.join(spans, "key").filter("root <> large").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    every = _others(met).join(spans.select("key", "parts"), "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = outside.drop("parts").join(every.drop("parts"), ["key", "part"])
+    return _pairs_of(pairs.filter("root <> other_root AND (other_root = large OR node < other)"), least)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of a likeness of ``least``: first by their parities, which rule most of the others out, then on the whole sets."""
+
+    def of_nodes(pairs: DataFrame, run, schema: str) -> DataFrame:
+        wanted = small_side(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        return stored(texts.join(wanted, "node", "left_semi").mapInPandas(run, schema).dropDuplicates(["node"]))
+
+    pairs = stored(pairs.distinct())
+    bits = of_nodes(pairs, _parities_of_texts(width), "node long, size long, bits binary")
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.withColumnsRenamed({"node": side, "size": f"size_{side}", "bits": f"bits_{side}"}), side)
+    pairs = stored(pairs.mapInPandas(_within(least), "a long, b long"))
+    sets = of_nodes(pairs, _sets_of_texts(width), "node long, shingles array<long>")
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return stored(both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def similar_texts(texts: DataFrame, width: int = 5, least: float = 0.8, paired_up_to: int = PAIRED_UP_TO) -> DataFrame:
+    """Edges (a, b), a < b, between nodes of different ``texts`` (node, text) whose shingle sets have a Jaccard likeness of ``least``.
+
+    No link is lost: the edges connect all that link.  Texts of equal sets are tied to the smallest node of them, which stands for all.
+    Candidates come from Golay keys and, exactly, from the first shingles of each set in one order of all shingles, which two
+    sets that are alike share.  Nodes under a first shingle are compared in pairs where it has at most ``paired_up_to``.  Under a
+    crowded one each is compared with the next one there, and then those with one another that no edges found so far connect.
+    Every edge is verified on the whole sets.  Equal nodes may come repeated.
+    """
+    made = texts.mapInPandas(
+        _keys_of_texts(width, least, common_shingles(texts, width)),
+        "node long, same long, size long, rare array<long>, marks array<long>, keys array<long>, sketch array<long>",
+    )
+    made = stored(made)
+    if not made.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        made = stored(made.dropDuplicates(["node"]))
+    heads = made.groupBy("same").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ties = stored(made.join(heads, "same").filter("node <> a").select("a", F.col("node").alias("b")))
+    known = made.join(small_side(ties.select(F.col("b").alias("node"))), "node", "left_anti")
+    under = Window.partitionBy("key")
+    met = known.select(F.explode("rare").alias("key"), "node", F.col("size").cast("int"))
+    met = stored(met.withColumn("n", F.count(F.lit(1)).over(under)).filter("n > 1"))
+    few, crowd = met.filter(F.col("n") <= paired_up_to).drop("n"), met.filter(F.col("n") > paired_up_to).drop("n")
+    crowd = stored(crowd.join(known.select("node", "marks"), "node"))
+    near = _pairs_of(few.join(_others(few), "key").filter("node < other"), least)
+    row = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    ahead = {"other": "node", "other_size": "size", "other_marks": "marks"}
+    after = _pairs_of(crowd.withColumns({k: F.lead(c).over(row) for k, c in ahead.items()}).filter("other IS NOT NULL"), least)
+    edges = _verified(_led_pairs(known).unionByName(near).unionByName(after), texts, width, least)
+    if not crowd.isEmpty():
+        edges = edges.unionByName(_verified(_across(crowd, edges, least), texts, width, least))
+    return edges.unionByName(ties)
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from llm_helpers import clashing, documents, first_of_groups, near_pairs, prose
+from llm_helpers import clashing, documents, first_of_groups, near_pairs, prose, shingled
 from pyspark.sql import functions as F
 
 from claimweave.llm import simhash_golay as S
@@ -140,6 +140,61 @@ def test_stage_finds_near_copies_of_a_whole_table(spark):
     assert gone <= should and len(gone) >= 0.98 * len(should)
 
 
+def drifting(rng, start, times, step):
+    """Texts each of which changes a few words of the one before, so that only neighbours are alike."""
+    out = [start]
+    for i in range(times):
+        words = list(out[-1])
+        for at in rng.sample(range(0, len(words), 5), step):
+            words[at] = f"d{i}x{at}"
+        out.append(words)
+    return [" ".join(words) for words in out]
+
+
+def test_no_link_is_lost(spark):
+    rng = random.Random(12)
+    texts = {"", "one", "One", "two words"}
+    for _ in range(12):
+        base = prose(rng, 150, 4000)
+        texts |= {" ".join(base).upper(), *drifting(rng, base, 12, 3)}
+        texts |= {" ".join(edited(rng, base, rng.randrange(1, 5))) for _ in range(6)}
+        texts.add(" ".join(base + prose(rng, 35, 4000)))
+    passage = prose(rng, 60, 4000)
+    texts |= {" ".join(passage + prose(rng, rng.randrange(2, 60), 4000)) for _ in range(60)}
+    texts = sorted(texts)
+    want = near_pairs(texts)
+    assert len(want) > 300
+    of = roots(range(len(texts)), want)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for crowded in (2, 1000):
+        got = {(r.a, r.b) for r in S.similar_texts(df, paired_up_to=crowded).collect()}
+        assert got <= want
+        assert roots(range(len(texts)), got) == of
+    sets = [frozenset(shingled(t)) for t in texts]
+    stand = {i for i, s in enumerate(sets) if sets.index(s) == i}
+    assert {p for p in want if set(p) <= stand} <= got
+    kept = S.keep_one_of_each(documents(spark, texts)).collect()
+    assert {r.doc_id for r in kept} == set(of.values())
+
+
+def test_order_of_shingles_and_parities():
+    rng = np.random.default_rng(4)
+    every = np.unique(rng.integers(0, 1 << 63, 600).astype(np.uint64))
+    common = rng.permutation(every)[:200]
+    place = {h: (1, -i) for i, h in enumerate(common.tolist())}
+    for size in (1, 2, 5, 40, 300):
+        one = np.sort(rng.permutation(every)[:size])
+        assert S.rare_first(one, common).tolist() == sorted(one.tolist(), key=lambda h: place.get(h, (0, h)))
+        other = np.unique(np.concatenate([one[size // 8 :], every[: size // 16]]))
+        apart = len(np.setxor1d(one, other))
+        for longs, others in ((8, 8), (1, 64), (128, 4), (64, 64)):
+            assert S.differing_at_least(S.parities(one, longs), S.parities(other, others)) <= apart
+        assert S.differing_at_least(S.parities(one, 64), S.parities(one, 4)) == 0
+        if len(np.intersect1d(one, other)) >= 0.8 * len(np.union1d(one, other)):
+            heads = [set(S.rare_first(h, common)[: S.prefix_length(len(h), 0.8)].tolist()) for h in (one, other)]
+            assert heads[0] & heads[1]
+
+
 def test_a_large_group_of_near_copies_keeps_one(spark):
     rng = random.Random(6)
     words = prose(rng, 120, 3000)
