@@ -245,6 +245,8 @@ def _keys_of_texts(width: int, least: float, common: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [(node, s) for node, s in zip(batch["node"], (shingle_set(t, width) for t in batch["text"]), strict=True) if len(s)]
+            if not sets:  # pandas would make columns of numbers of the empty lists
+                continue
             made = [banded(s) for _, s in sets]
             yield pd.DataFrame(
                 {
